@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weir.llm import fingerprints, line_dedup, token_counts, token_files
+from weir.llm import fingerprints, line_dedup, piece_sampling, pii, token_counts, token_files, toxicity
 from weir.llm.shared import table
 
 
@@ -18,6 +18,13 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").where(~toxicity.held_out("doc_id"))
+    out = toxicity.score(docs, toxicity.train(docs, labels))
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", "predicted")
+
+
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.drop_boilerplate(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "source", "n_lines", "n_dropped", "text")
@@ -27,16 +34,36 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, vocabulary("byte_bpe_50k.json"))
 
 
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per document: pieces, a hash of their ids, and whether decoding gave the text back."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = vocabulary("piece_bpe_32k.model")
+    out = piece_sampling.decode(piece_sampling.encode(docs, model), model)
+    return out.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_pieces"),
+        F.xxhash64("ids").alias("ids_hash"),
+        (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("lossless"),
+    )
+
+
 QUERIES = {
     "op1_fingerprints": op1_fingerprints,
+    "op4_toxicity": op4_toxicity,
     "op5_line_dedup": op5_line_dedup,
     "op6_token_files": op6_token_files,
+    "op7_pii": op7_pii,
     "op9_token_counts": op9_token_counts,
+    "op10_piece_sampling": op10_piece_sampling,
 }
 
 ORACLE_SQL = {
