@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from weir.llm import fingerprints, line_dedup, piece_sampling, pii, token_counts, token_files, toxicity
+from weir.llm import fingerprints, line_dedup, ngram_join, piece_sampling, pii, token_counts, token_files, toxicity
 from weir.llm.shared import table
 
 
@@ -38,6 +38,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(table(spark, sf_dir, "documents"))
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return token_counts.token_counts(docs, vocabulary("byte_bpe_50k.json"))
@@ -62,6 +66,7 @@ QUERIES = {
     "op5_line_dedup": op5_line_dedup,
     "op6_token_files": op6_token_files,
     "op7_pii": op7_pii,
+    "op8_ngram_join": op8_ngram_join,
     "op9_token_counts": op9_token_counts,
     "op10_piece_sampling": op10_piece_sampling,
 }
