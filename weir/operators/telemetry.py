@@ -58,3 +58,13 @@ def pass_rate(results: DataFrame) -> DataFrame:
         F.count_if("passed").alias("passed"), F.count("*").alias("total"),
         F.round(100 * F.count_if("passed") / F.greatest(F.count("*"), F.lit(1)), 1).alias("pass_rate"),
     )
+
+
+def report(results: DataFrame, path: str) -> None:
+    """Scenario results (trace_id, action, passed) as JSON lines in path/json and a Markdown table in path/markdown."""
+    results.write.mode("overwrite").json(f"{path}/json")
+    mark = F.when(F.col("passed"), "PASSED").otherwise("FAILED")
+    line = F.concat(F.lit("| `"), "trace_id", F.lit("` | "), "action", F.lit(" | "), mark, F.lit(" |"))
+    lines = results.orderBy("trace_id").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("value"))
+    head = F.lit("| ID | Action | Result |\n| :--- | :--- | :--- |\n")
+    lines.select(F.concat(head, "value").alias("value")).write.mode("overwrite").text(f"{path}/markdown")
