@@ -43,13 +43,3 @@ def duck(sf_dir):
     for name in os.listdir(sf_dir):
         db.execute(f"CREATE VIEW {name.split('.')[0]} AS FROM '{sf_dir}/{name}'")
     return db
-
-
-def rows_of(frame) -> list[tuple]:
-    """Comparable rows of a pandas frame, columns by name."""
-    def plain(v):
-        if v is None or v != v:
-            return "null"
-        return float(v) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
-
-    return sorted(tuple(map(plain, r)) for r in frame[sorted(frame.columns)].itertuples(index=False, name=None))
