@@ -184,6 +184,8 @@ def test_licenses(spark, docs):
     assert {k: r.license for k, r in got.items()} == {30: "Apache-2.0", 32: "GPL-3.0", 33: "MIT", 34: "ISC"}
     assert (got[30].block_start, got[30].block_end, got[30].n_diff) == (6, 53, 0) and got[32].wording == "-licensed +licenced"
     assert licenses.scan_licenses(docs([])).collect() == []
+    long = "w " * 9000 + "Released under the MIT License. " + "v " * 9000
+    assert [r[2] for r in licenses.Scanner().scan(long)] == ["MIT"]
 
 
 def test_piece_sampling_round_trip_and_repeatability(spark, docs):
