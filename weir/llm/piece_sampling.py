@@ -10,9 +10,10 @@ pieces on any partitioning. Characters without a piece, and the space mark itsel
 as byte pieces; decoding turns pieces back into bytes and drops the leading space, so it
 returns exactly the text.
 
-No piece holds a space mark after another character, so the lattice falls apart before each
-space that follows a non-space: those chunks are drawn independently, which is the same
-distribution, and their filtered lattices are kept in a table of bounded size.
+No piece holds a space mark after another character, and few or none hold a letter beside a
+punctuation mark, so the lattice falls apart between two characters that no piece holds side by
+side: the chunks between such places are drawn independently, which is the same distribution,
+and their filtered lattices are kept in a table of bounded size.
 
 Nulls: a null text counts as empty and has no pieces; a null key seeds as the empty string.
 Repeated rows get equal pieces. An empty table gives an empty result. Other columns pass through;
@@ -29,13 +30,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weir.llm.shared import settle, small
 from weir.session import ship
 
 ALPHA = 1.0
 #: Characters handled at once, and chunks whose lattices are kept.
-BATCH_CHARS, KEPT = 2_000_000, 400_000
+BATCH_CHARS, KEPT = 500_000, 300_000
 MARK = "▁"
-_CUT = re.compile(r"(?<=[^ ])(?=[ ])")
+POINTS = ".,;:!?()|\n\"'-"
+_VOCABULARIES: dict[str, "Vocabulary"] = {}
 _LATTICES: dict[tuple[str, float], "Lattices"] = {}
 
 
@@ -58,6 +61,22 @@ class Vocabulary:
                 self.weight[piece] = (i, -math.log(2 - sp.get_score(i)))
         if any(MARK in p.lstrip(MARK) for p in self.weight):
             raise ValueError("a piece holds a space mark after another character")
+        self.cutter = self._cutter()
+
+    def _cutter(self) -> re.Pattern:
+        """Places between characters that no piece holds side by side: before spaces, and around POINTS beside letters."""
+        beside = {(x, y) for p in self.weight for x, y in zip(p, p[1:])}
+        ways = {}
+        for c in POINTS:
+            before = "".join(sorted(x for x, y in beside if y == c and re.match(r"[^\W\d_]", x)))
+            after = "".join(sorted(y for x, y in beside if x == c and re.match(r"[^\W\d_]", y)))
+            ways.setdefault(rf"(?<=[^\W\d_{re.escape(before)}])(?=[{{}}])", []).append(c)
+            ways.setdefault(rf"(?<=[{{}}])(?=[^\W\d_{re.escape(after)}])", []).append(c)
+        return re.compile("|".join(["(?<=[^ ])(?=[ ])", *(w.format(re.escape("".join(c))) for w, c in ways.items())]))
+
+    def cut(self, text: str) -> list[str]:
+        """The chunks of a leading space plus the text; none for an empty text."""
+        return self.cutter.split(" " + text) if text else []
 
     def decode(self, ids: list[int]) -> str:
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
@@ -115,7 +134,7 @@ class Lattices:
 
     def clear(self) -> None:
         self.end: dict[str, int] = {}
-        self.key, self.piece, self.source = array("d"), array("i"), array("i")
+        self.key, self.piece, self.source = array("f"), array("i"), array("i")
         self.node_arc, self.nodes = array("i", [0, 0]), 1  # node 0 is every chunk's start
 
     def build(self, chunks: list[str]) -> np.ndarray:
@@ -168,9 +187,8 @@ class Lattices:
         run = np.cumsum(chance)
         run -= np.repeat(run[opens] - chance[opens], many)
         close = opens + many - 1
-        run = np.minimum(run, 1.0)
-        run[close] = 1.0
-        self.key.frombytes((np.repeat(node_of[last[opens]], many) + run).tobytes())
+        run[close] = 2.0  # beyond any draw
+        self.key.frombytes(run.astype(np.float32).tobytes())
         self.piece.frombytes(piece.astype(np.int32).tobytes())
         self.source.frombytes(np.where(begins, 0, node_of[start - 1]).astype(np.int32).tobytes())
         self.node_arc.frombytes((self.node_arc[-1] + np.cumsum(many)).astype(np.int32).tobytes())
@@ -202,7 +220,7 @@ class Lattices:
 
     def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
         """The sampled ids of each text."""
-        words = [cut(x) for x in texts]
+        words = [self.vocabulary.cut(x) for x in texts]
         sizes = np.array([len(w) for w in words], np.int64)
         at = self.ends([c for w in words for c in w])
         # Each chunk draws from its own stream: the text's seed and the chunk's place.
@@ -211,13 +229,16 @@ class Lattices:
         stream = mix(np.repeat(seeds, sizes) + place * np.uint64(0x9E3779B97F4A7C15))
         key, piece, source, arc = (
             np.frombuffer(x, t)
-            for x, t in ((self.key, np.float64), (self.piece, np.int32), (self.source, np.int32), (self.node_arc, np.int32))
+            for x, t in ((self.key, np.float32), (self.piece, np.int32), (self.source, np.int32), (self.node_arc, np.int32))
         )
         live, nodes, drawn, step = np.arange(len(at)), at, [], 0
         counts = np.zeros(len(at), np.int64)
         while len(live):
             u = (mix(stream[live] + np.uint64(step)) >> np.uint64(11)).astype(np.float64) * 2.0**-53
-            k = np.minimum(np.searchsorted(key, nodes + u, side="right"), arc[nodes + 1] - 1)
+            k, past = arc[nodes], np.arange(len(nodes))
+            while len(past):  # the first arcs, of the longest pieces, take most draws
+                past = past[key[k[past]] <= u[past]]
+                k[past] += 1
             drawn.append((live, piece[k]))
             counts[live] += 1
             nodes = source[k]
@@ -231,15 +252,6 @@ class Lattices:
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 
-def cut(text: str) -> list[str]:
-    """The chunks of a leading space plus the text; none for an empty text."""
-    if not text:
-        return []
-    if "  " in text or text[0] == " ":
-        return _CUT.split(" " + text)
-    return [" " + x for x in text.split(" ")]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The finaliser of splitmix64."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -253,6 +265,12 @@ def lattices(path: str, alpha: float) -> Lattices:
     return _LATTICES[path, alpha]
 
 
+def vocabulary(path: str) -> Vocabulary:
+    if path not in _VOCABULARIES:
+        _VOCABULARIES[path] = Vocabulary(path)
+    return _VOCABULARIES[path]
+
+
 def _groups(texts: list[str]):
     """Slices of about BATCH_CHARS characters."""
     start = size = 0
@@ -269,16 +287,17 @@ def _fields(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
 
-def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", seed: int = 0, alpha: float = ALPHA) -> DataFrame:
-    """docs with ids array<int>: a sampled segmentation of each text."""
+def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", seed: int = 0, alpha: float = ALPHA, decoded: bool = False) -> DataFrame:
+    """docs with ids array<int>, a sampled segmentation of each text, and where asked for decoded, the text that they spell."""
     ship(docs.sparkSession)
-    docs = docs.drop("ids")
+    docs = docs.drop("ids", *(["decoded"] if decoded else []))
 
     def run(batches):
         import xxhash
 
+        settle("pieces", _LATTICES.clear)
         own = lattices(model, alpha)
-        for batch in batches:
+        for batch in small(batches, text):
             names = batch.schema.names
             texts = [x or "" for x in batch.column(names.index(text)).to_pylist()]
             keys = batch.column(names.index(key)).to_pylist()
@@ -288,9 +307,10 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
                 offsets = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
                 ids = pa.ListArray.from_arrays(offsets, np.concatenate(got) if got else np.zeros(0, np.int32))
                 part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, ids], [*names, "ids"])
+                back = [pa.array([own.vocabulary.decode(x.tolist()) for x in got], pa.string())] if decoded else []
+                yield pa.RecordBatch.from_arrays([*part.columns, ids, *back], [*names, "ids", *["decoded"][: len(back)]])
 
-    return docs.mapInArrow(run, f"{_fields(docs)}, ids array<int>")
+    return docs.mapInArrow(run, f"{_fields(docs)}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
@@ -299,10 +319,10 @@ def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
     encoded = encoded.drop("decoded")
 
     def run(batches):
-        own = lattices(model, ALPHA).vocabulary
+        own = vocabulary(model)
         for batch in batches:
             names = batch.schema.names
-            texts = [own.decode(x or []) for x in batch.column(names.index(ids)).to_pylist()]
+            texts = [own.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in batch.column(names.index(ids))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
 
     return encoded.mapInArrow(run, f"{_fields(encoded)}, decoded string")
