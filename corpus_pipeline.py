@@ -36,7 +36,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """docs with ids, n_pieces and lossless (decoding the ids gave the text back)."""
     model = vocabulary("piece_bpe_32k.model")
-    out = piece_sampling.decode(piece_sampling.encode(docs, model), model)
+    out = piece_sampling.encode(docs, model, decoded=True)
     lossless = F.col("decoded") == F.coalesce("text", F.lit(""))
     return out.withColumns({"n_pieces": F.size("ids").cast("bigint"), "lossless": lossless}).drop("decoded")
 

@@ -35,7 +35,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weir.llm.shared import materialize
+from weir.llm.shared import materialize, scratch, settle, small
 from weir.session import ship
 
 THRESHOLD, SHINGLE = 0.8, 5
@@ -53,7 +53,7 @@ class WordHash(dict):
     def __missing__(self, word: str) -> int:
         import xxhash
 
-        if len(self) >= 1 << 19:
+        if len(self) >= 1 << 18:
             self.clear()
         value = xxhash.xxh64_intdigest(word)
         if len(word) <= 48:
@@ -197,8 +197,9 @@ def signatures(docs: DataFrame) -> DataFrame:
         import xxhash
         from pyspark import TaskContext
 
+        settle("ngrams", _HASHES.clear)
         row = TaskContext.get().partitionId() << 36
-        for batch in batches:
+        for batch in small(batches, 1):
             texts = [x or "" for x in batch.column(1).to_pylist()]
             at, size = 0, 0
             for i, x in enumerate(texts):
@@ -229,7 +230,13 @@ def signatures(docs: DataFrame) -> DataFrame:
 
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The result is written before what it was made from is deleted."""
     ship(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        return materialize(_joined(docs, threshold), "joined", keep=True)
+
+
+def _joined(docs: DataFrame, threshold: float) -> DataFrame:
     own = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     signed = materialize(signatures(own), "signed")
     # A class is led by the row of its least doc_id; null ids come last.
@@ -268,9 +275,11 @@ def _links(signed: DataFrame, classes: DataFrame, grouped: DataFrame, threshold:
     weight = materialize(weight.select("root", parts.alias("parts")), "weight")
     members = sized.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     members = materialize(members.select("node", "root", "parts", "block", "n_copies"), "members")
-    texts = signed.select(F.col("row").alias("node"), "text").join(members, "node")
+    # By merge at every size: a small table's members would be broadcast, and the plan would change as they grow.
+    texts = signed.select(F.col("row").alias("node"), "text").join(members.hint("merge"), "node")
 
     def shingled(batches):
+        settle("ngrams", _HASHES.clear)
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for at in range(0, len(texts), 200):

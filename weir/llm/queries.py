@@ -59,7 +59,7 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: pieces, a hash of their ids, and whether decoding gave the text back."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = vocabulary("piece_bpe_32k.model")
-    out = piece_sampling.decode(piece_sampling.encode(docs, model), model)
+    out = piece_sampling.encode(docs, model, decoded=True)
     return out.select(
         "doc_id",
         F.size("ids").cast("bigint").alias("n_pieces"),

@@ -4,8 +4,13 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,12 +34,47 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+_OPEN: list[list[str]] = []
+
+
+@contextmanager
+def scratch(spark: SparkSession):
+    """Tables that materialize() writes within go at the end, but for those to be kept."""
+    _OPEN.append([])
+    try:
+        yield
+    finally:
+        for path in _OPEN.pop():
+            jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+            jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write and reread df: cuts lineage, survives lost executors, and gives the planner real sizes."""
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
+    if _OPEN and not keep:
+        _OPEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_or_empty(name: str = "text"):
-    return F.coalesce(F.col(name).cast("string"), F.lit(""))
+def small(batches: Iterable[pa.RecordBatch], text: int | str, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `size` bytes of the text column, so that few texts are Python strings at once."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            before = ends[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+            yield batch.slice(start, end - start)
+            start = end
+
+
+_HELD: dict[str, Callable[[], object]] = {}
+
+
+def settle(name: str, clear: Callable[[], object]) -> None:
+    """For a task: what other operators keep in this worker process, which Spark uses again and again, is dropped."""
+    for other in [k for k in _HELD if k != name]:
+        _HELD.pop(other)()
+    _HELD[name] = clear
