@@ -25,6 +25,19 @@ def chunks(text: str) -> list[str]:
     return [head, *[" " + x for x in rest]] if rest else [head]
 
 
+_PART = re.compile(
+    r"(?<=[^\W\d_])(?=[.,;:!?()|\"\n-])|(?<=[.,;:!?()|\"-])(?=[^\W\d_])|(?<=[.,;:!?])(?=\n)|(?<=\S\n)(?=[^\W\d_])"
+)
+
+
+def parts_of(chunk: str) -> list[str]:
+    """chunk cut between letters and punctuation or a single line's end, where a token never reaches across.
+
+    Special strings must be looked for before, since they may hold such places.
+    """
+    return _PART.split(chunk) if chunk else []
+
+
 class Memo(dict):
     """Values by chunk, computed when missing; long chunks aren't kept, and a full memo is emptied."""
 

@@ -15,6 +15,7 @@ An empty table writes no sequences. Columns other than doc_id and text are ignor
 
 from __future__ import annotations
 
+import os
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -24,29 +25,68 @@ import pyarrow as pa
 from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weir.llm.chunks import Memo, chunks
+from weir.llm.chunks import chunks, parts_of
 from weir.llm.shared import scratch_path
 from weir.session import ship
 
 LENGTH, ROWS, END_ID = 1024, 256, 0
-_ENCODERS: dict[str, tuple[Memo, np.dtype]] = {}
+#: Characters whose chunks are encoded together, chunks kept, and the longest chunk kept.
+BATCH_CHARS, KEPT, LONGEST = 4_000_000, 1 << 19, 64
+_ENCODERS: dict[str, "Encoder"] = {}
 
 
-def encoder(path: str) -> tuple[Memo, np.dtype]:
-    """Ids of a chunk as bytes, and their type; one for each worker process."""
-    if path not in _ENCODERS:
+class Encoder:
+    """Ids of texts as bytes; the library encodes each distinct part of a chunk once."""
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        own = Tokenizer.from_file(path)
-        kind = np.dtype("<u2" if own.get_vocab_size() <= 1 << 16 else "<u4")
-        _ENCODERS[path] = Memo(lambda x: np.array(own.encode(x, add_special_tokens=False).ids, kind).tobytes()), kind
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
+        self.own = Tokenizer.from_file(path)
+        self.kind = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
+        self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
+        self.kept: dict[str, bytes] = {}
+        self.words: dict[str, bytes] = {}
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        cut = [chunks(x) for x in texts]
+        if len(self.kept) > KEPT:
+            self.kept.clear()
+        kept = self.kept
+        new = [*{c for w in cut for c in w if c not in kept}]
+        parts = [[c] if any(s in c for s in self.special) else parts_of(c) for c in new]
+        words = self.words
+        if len(words) > KEPT:
+            words.clear()
+        fresh = [*{p for w in parts for p in w if p not in words}]
+        got = self.own.encode_batch_fast(fresh, add_special_tokens=False)
+        words.update((p, np.array(x.ids, self.kind).tobytes()) for p, x in zip(fresh, got))
+        kept.update((c, b"".join(map(words.__getitem__, w))) for c, w in zip(new, parts))
+        out = [b"".join(map(kept.__getitem__, w)) for w in cut]
+        for held, keys in ((kept, new), (words, fresh)):
+            for c in keys:
+                if len(c) > LONGEST:
+                    del held[c]
+        return out
+
+    def groups(self, texts: list[str | None]):
+        """encode() over slices of about BATCH_CHARS characters."""
+        held, size = [], 0
+        for x in texts:
+            held.append(x or "")
+            size += len(held[-1])
+            if size >= BATCH_CHARS:
+                yield from self.encode(held)
+                held, size = [], 0
+        yield from self.encode(held)
+
+
+def encoder(path: str) -> Encoder:
+    if path not in _ENCODERS:
+        _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
 
 
-def encode(text: str, memo: Memo) -> bytes:
-    return b"".join(map(memo.__getitem__, chunks(text)))
-
-
 class SequenceFile:
     """Writes ids into rows of LENGTH, a batch at a time."""
 
@@ -126,7 +166,8 @@ def write_token_files(
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         name, temp = f"{root}/part-{part:06d}", f"{root}/_{uuid.uuid4().hex}"
-        (memo, kind), at, n = encoder(tokenizer), 0, 0
+        own, at, n = encoder(tokenizer), 0, 0
+        kind = own.kind
         end = np.array([end_id], kind).tobytes()
         index = pa.schema([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])
         out, seq, head = None, None, None
@@ -135,8 +176,8 @@ def write_token_files(
                 out, lists = store.open_output_stream(f"{temp}.arrow"), store.open_output_stream(f"{temp}.index")
                 seq, head = SequenceFile(out, length, rows, kind), ipc.new_file(lists, index)
             places = []
-            for text in batch.column(1):
-                ids = encode(text.as_py(), memo) + end
+            for ids in own.groups(batch.column(1).to_pylist()):
+                ids += end
                 seq.add(ids)
                 places.append((at, len(ids) // kind.itemsize))
                 at += places[-1][1]
