@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weir.llm.shared import materialize
+from weir.llm.shared import materialize, small
 from weir.session import ship
 
 ERRORS, MIN_CHARS, BLOCK_CHARS = 0.05, 40, 4_000_000
@@ -164,7 +164,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block
                 _MATCHERS.clear()
                 _MATCHERS[name] = Matcher([t for _, t in sent.value], errors, min_chars)
             matcher, ids = _MATCHERS[name], [i for i, _ in sent.value]
-            for batch in batches:
+            for batch in small(batches, 1):
                 rows = [
                     (doc, ids[k], d, end)
                     for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())

@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from weir.llm.shared import settle, small
 from weir.session import ship
 
 N_FROM, N_TO, BITS, MIN_TEXTS = 3, 5, 18, 5
@@ -55,7 +56,7 @@ def text_features(text: str) -> np.ndarray:
         if got is None:
             got = word_features(w)
             if len(w) <= 32:
-                if len(kept) >= 200_000:
+                if len(kept) >= 50_000:
                     kept.clear()
                 kept[w] = got
         parts.append(got)
@@ -84,19 +85,24 @@ class Model:
         texts = np.zeros(size, np.int32)
         for r in rows:
             texts[np.unique(r)] += 1
-        p = np.bincount(flat[y[owner] == 1], minlength=size) + 1.0
-        q = np.bincount(flat[y[owner] == 0], minlength=size) + 1.0
+        p, q = (np.bincount(np.concatenate([x for x, c in zip(rows, y) if c == k]), minlength=size) + 1.0 for k in (1, 0))
         r = np.log(p / p.sum()) - np.log(q / q.sum())
         r[texts < MIN_TEXTS] = 0
-        value = (r[flat] * (SCALE / np.sqrt(np.maximum(counts, 1)))[owner]).astype(np.float32)
+        value = r.astype(np.float32)[flat]
+        value *= (SCALE / np.sqrt(np.maximum(counts, 1))).astype(np.float32)[owner]
         weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum())
+        ends = np.cumsum(counts)
+        cuts = np.unique(np.searchsorted(ends, np.arange(0, ends[-1], 1_000_000), side="left").tolist() + [len(rows)])
+        slices = [(a, b, slice(ends[a] - counts[a], ends[b - 1])) for a, b in zip(cuts[:-1], cuts[1:])]  # some texts at a time
         w, b = np.zeros(size), float(np.log(share / (1 - share)))
         g2, gb2 = np.full(size, 1e-8), 1e-8
         for _ in range(epochs):
-            z = np.bincount(owner, value * w[flat], minlength=len(rows)) + b
-            err = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y) * weight
-            g = np.bincount(flat, value * err[owner], minlength=size) + l2 * w
-            gb = err.sum()
+            g, gb = l2 * w, 0.0
+            for start, end, at in slices:
+                z = np.bincount(owner[at] - start, value[at] * w[flat[at]], minlength=end - start) + b
+                err = (1 / (1 + np.exp(-np.clip(z, -35, 35))) - y[start:end]) * weight[start:end]
+                g += np.bincount(flat[at], value[at] * err[owner[at] - start], minlength=size)
+                gb += err.sum()
             g2 += g * g
             gb2 += gb * gb
             w -= rate * g / np.sqrt(g2)
@@ -116,7 +122,7 @@ class Model:
             if got is None:
                 got = self.word(w)
                 if len(w) <= 32:
-                    if len(words) >= 500_000:
+                    if len(words) >= 250_000:
                         words.clear()
                     words[w] = got
             total.append(got[0])
@@ -142,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple = SAMPLE, chars: tup
     within = joined.withColumn("size", F.sum(F.length("text")).over(running)).where(F.col("size") <= most)
 
     def features(batches):
+        settle("toxicity features", _FEATURES.clear)
         for batch in batches:
             rows = [text_features(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "features"])
@@ -172,8 +179,9 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str
     name = uuid.uuid4().hex
 
     def run(batches):
+        settle("toxicity", _LOADED.clear)
         own = loaded(name, sent)
-        for batch in batches:
+        for batch in small(batches, text):
             texts = batch.column(batch.schema.names.index(text)).to_pylist()
             scores = np.array([own.score(x or "") for x in texts], np.float64)
             more = [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
