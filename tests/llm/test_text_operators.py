@@ -188,6 +188,22 @@ def test_licenses(spark, docs):
     assert [r[2] for r in licenses.Scanner().scan(long)] == ["MIT"]
 
 
+PROSE = "The river bends twice before it meets the old mill, and the people of the valley walk there on quiet evenings to talk. "
+
+
+def test_licenses_are_found_within_prose():
+    scanner = licenses.Scanner()
+    for before, after in ((0, 1), (1, 1), (3, 3), (40, 0), (60, 60)):  # from one sentence on the line to a very long line
+        text = PROSE * before + "Released under the MIT License. " + PROSE * after
+        at = len(PROSE) * before
+        assert [r[:3] + r[4:] for r in scanner.scan(text)] == [(at, at + 31, "MIT", 0, "")]
+    assert scanner.scan(PROSE * 3 + "the license of a poet is not a license " + PROSE * 3) == []
+    for k in licenses.NAMES:  # every notice with license language, between prose and over a line's end
+        for notice in licenses.notices(k):
+            if licenses._ANCHOR.search(notice):
+                assert k in [r[2] for r in scanner.scan(PROSE + notice.replace(" ", "\n", 1) + " " + PROSE)], notice
+
+
 def test_piece_sampling_round_trip_and_repeatability(spark, docs):
     model, rows = vocabulary("piece_bpe_32k.model"), EDGE + [(200 + i, t) for i, t in enumerate(odd_texts(200, 9))]
     once = piece_sampling.decode(piece_sampling.encode(docs(rows), model), model).collect()
