@@ -204,6 +204,18 @@ def test_licenses_are_found_within_prose():
                 assert k in [r[2] for r in scanner.scan(PROSE + notice.replace(" ", "\n", 1) + " " + PROSE)], notice
 
 
+def test_every_license_of_a_text_is_reported():
+    two = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
+    tags = ["SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Apache-2.0"]
+    for pair in (two, tags):
+        for between in ("\n", " ", " or ", "\n\n"):
+            text = pair[0] + between + pair[1]
+            at = len(pair[0] + between)
+            assert [r[:3] for r in licenses.Scanner().scan(text)] == [(0, len(pair[0]), "MIT"), (at, len(text), "Apache-2.0")]
+    names = [licenses.FORMS[2].format(v[0]) for v in licenses.NAMES.values()]
+    assert [r[2] for r in licenses.Scanner().scan(PROSE + " ".join(names * 3) + " " + PROSE)] == list(licenses.NAMES) * 3
+
+
 def test_piece_sampling_round_trip_and_repeatability(spark, docs):
     model, rows = vocabulary("piece_bpe_32k.model"), EDGE + [(200 + i, t) for i, t in enumerate(odd_texts(200, 9))]
     once = piece_sampling.decode(piece_sampling.encode(docs(rows), model), model).collect()
