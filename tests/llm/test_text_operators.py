@@ -310,6 +310,22 @@ def test_toxicity_learns_words_and_scores_odd_rows(spark, docs):
     assert toxicity.score(docs([]), model).collect() == []
 
 
+def test_a_long_text_does_not_end_the_toxicity_sample(spark, docs, monkeypatch):
+    rows = [(i, f"vile scum {i}" if i % 2 else f"calm sea {i}") for i in range(60)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    order = [r.id for r in spark.range(60).orderBy(toxicity.F.xxhash64("id")).collect()]
+    seen = []
+    monkeypatch.setattr(toxicity.Model, "fit", classmethod(lambda cls, rows, y, share: seen.append(Tally(y.tolist()))))
+    for size in (700, 5000):  # beyond a tenth of the budget, beyond all of it
+        long = [(i, t + " filler" * (size // 7) if i in [next(x for x in order if x % 2 == c) for c in (0, 1)] else t) for i, t in rows]
+        toxicity.train(docs(long), labels, chars=(1000, 1000))
+    assert seen[0] == seen[1] == {0: 29, 1: 29}
+    toxicity.train(docs([(1, "vile " * 900), (2, "calm " * 900)]), labels, chars=(1000, 1000))
+    assert seen[2] == {0: 1, 1: 1}
+    with pytest.raises(ValueError):
+        toxicity.train(docs([(i, t) for i, t in rows if i % 2]), labels, sample=(10, 10))
+
+
 def test_held_out_rows(spark):
     got = spark.range(50).select("id", toxicity.held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)

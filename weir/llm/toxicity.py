@@ -10,12 +10,14 @@ share of all labels. A text's score is the logistic of its weighted sum. A word'
 depends on the word alone, so it is kept in a table of bounded size.
 
 Sample: at most SAMPLE[c] labelled rows of class c, those least by a hash of doc_id, and at most
-SAMPLE_CHARS[c] characters (rows beyond that are left out whole). Only their feature numbers come
-to the driver. Every document is scored in full.
+SAMPLE_CHARS[c] characters: texts up to a tenth of that in order of the hash, then longer ones, shortest first, as
+far as they fit whole, so a long text never keeps a shorter one out. If not even the first fits, its first
+SAMPLE_CHARS[c] characters are taken. Only their feature numbers come to the driver. Every document is scored in full.
 
 Nulls: a null or empty text has no features and scores by the intercept alone. Rows of labels
 with null doc_id or label, or without a document, teach nothing; where labels conflict, a document
-is toxic if any says so. Without both classes the score is 0.0. An empty table gives an empty
+is toxic if any says so. Without both classes the score is 0.0; it is an error if a class has more labels than are
+sampled, and none of those sampled has a document. An empty table gives an empty
 result; other columns pass through; score and predicted are replaced.
 """
 
@@ -143,9 +145,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple = SAMPLE, chars: tup
     few = marks.where("toxic in (0, 1)").select("doc_id", "toxic", drawn.alias("h"))
     of = [few.where(f"toxic = {c}").orderBy("h", "doc_id").limit(sample[c]) for c in (0, 1)]
     joined = own.join(F.broadcast(of[0].unionAll(of[1])), "doc_id")
-    running = Window.partitionBy("toxic").orderBy("h", "doc_id", "text").rowsBetween(Window.unboundedPreceding, 0)
-    most = F.when(F.col("toxic") == 1, chars[1]).otherwise(chars[0])
-    within = joined.withColumn("size", F.sum(F.length("text")).over(running)).where(F.col("size") <= most)
+    most, n_chars = F.when(F.col("toxic") == 1, chars[1]).otherwise(chars[0]), F.length("text")
+    order = Window.partitionBy("toxic").orderBy(F.greatest(n_chars, most / 10), "h", "doc_id", "text")
+    running = order.rowsBetween(Window.unboundedPreceding, 0)
+    sized = joined.withColumns({"size": F.sum(n_chars).over(running), "place": F.row_number().over(order)})
+    within = sized.where((F.col("size") <= most) | (F.col("place") == 1)).withColumn("text", F.substring("text", F.lit(1), most))
 
     def features(batches):
         settle("toxicity features", _FEATURES.clear)
@@ -156,6 +160,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple = SAMPLE, chars: tup
     found = within.select(F.col("toxic").cast("int"), "text").mapInArrow(features, "toxic int, features array<int>")
     got = found.toArrow()
     rows = [np.asarray(x.values, np.int32) for x in got.column("features")]
+    for c in {0, 1} - {*got.column("toxic").to_pylist()}:
+        if n.get(c, 0) > sample[c] > 0:
+            raise ValueError(f"{n[c]} labels of class {c}, but none of the {sample[c]} sampled has a document")
     return Model.fit(rows, got.column("toxic").to_numpy(), share)
 
 
