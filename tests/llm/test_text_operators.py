@@ -288,6 +288,17 @@ def test_decontamination_finds_edited_passages(spark, docs):
     assert decontamination.matches(docs([]), benchmark).collect() == []
 
 
+def test_short_items_match_at_word_edges(spark, docs):
+    items = [(1, "Paris"), (2, "who wrote the odyssey?"), (3, "東京"), (4, ""), (5, "42")]
+    rows = [
+        (1, "in paris,  France"), (2, "a comparison of parishes"), (3, "Q: Who  wrote the\nOdyssey? A: Homer"), (4, "who wrotte the odyssey?"),
+        (5, "who wrotte thee odyssey?"), (6, "我在東京住"), (7, "it is 42."), (8, "it is 1423"), (9, "xwho wrote the odyssey? paris"), (10, None), (11, "parisparis paris"),
+    ]
+    got = decontamination.matches(docs(rows), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = {(1, 1, 0, 8), (3, 2, 0, 25), (4, 2, 1, 23), (6, 3, 0, 4), (7, 5, 0, 8), (9, 1, 0, 29), (9, 2, 1, 23), (11, 1, 0, 16)}
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+
+
 def test_toxicity_learns_words_and_scores_odd_rows(spark, docs):
     draw = random.Random(6)
     words = ["".join(draw.choice("abcdefghij") for _ in range(draw.randint(3, 8))) for _ in range(400)]

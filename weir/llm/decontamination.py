@@ -10,7 +10,8 @@ item that meet are verified together.
 
 The items are taken in blocks of at most BLOCK_CHARS characters, each block one pass over the
 texts, so what is sent to the tasks is bounded whatever the benchmark's size. Items below MIN_CHARS normalised
-characters are too short to tell a leak from chance and are left out.
+characters are matched within the same budget, but only where the passage begins and ends at the edge of a word; in
+scripts that are written without spaces every place is an edge. An empty item has no matches.
 
 Result: a row for each document and item found: doc_id, item_id, distance (the least edits), and
 match_end (where in the normalised text the first best match ends, exclusive).
@@ -22,6 +23,7 @@ give an empty result. Other columns are ignored.
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -33,6 +35,9 @@ from weir.session import ship
 
 ERRORS, MIN_CHARS, BLOCK_CHARS = 0.05, 40, 4_000_000
 
+#: Letters of words that spaces set apart: not those of Thai, Lao, Burmese, Khmer, kana and Han.
+_SPACED = re.compile(r"[^\W\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+
 
 def normal(text: str) -> str:
     return " ".join(text.lower().split())
@@ -76,6 +81,22 @@ def least_distance(bits: dict[str, int], m: int, stretch: str) -> tuple[int, int
     return best, end
 
 
+def is_edge(text: str, at: int) -> bool:
+    """Whether no word goes on across this place."""
+    return not (0 < at < len(text) and _SPACED.match(text[at - 1]) and _SPACED.match(text[at]))
+
+
+def edits(a: str, b: str) -> int:
+    """Least edits between two short texts."""
+    row = [*range(len(b) + 1)]
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
 class Matcher:
     """Finds the items of one block in texts."""
 
@@ -84,10 +105,11 @@ class Matcher:
 
         self.items = [normal(x) for x in items]
         self.budget = [int(len(x) * errors) for x in self.items]
+        self.whole = [len(x) < min_chars for x in self.items]
         self.bits: list[dict[str, int] | None] = [None] * len(items)
         held: dict[str, list[tuple[int, int]]] = {}
         for k, item in enumerate(self.items):
-            if len(item) >= min_chars:
+            if item:
                 for at, piece in pieces(item, errors):
                     held.setdefault(piece, []).append((k, at))
         self.automaton = ahocorasick.Automaton()
@@ -102,10 +124,15 @@ class Matcher:
         if self.empty or not text:
             return
         spans: dict[int, list[list[int]]] = {}
+        exact: dict[int, tuple[int, int]] = {}
         for last, (size, places) in self.automaton.iter(text):
             start = last - size + 1
             for k, at in places:
                 b = self.budget[k]
+                if self.whole[k] and not b:  # the piece is the item
+                    if k not in exact and is_edge(text, start) and is_edge(text, last + 1):
+                        exact[k] = (0, last + 1)
+                    continue
                 a, e = max(0, start - at - b), min(len(text), start - at + len(self.items[k]) + b)
                 own = spans.setdefault(k, [])
                 if own and a <= own[-1][1]:
@@ -116,6 +143,11 @@ class Matcher:
         for k, own in sorted(spans.items()):
             item, found = self.items[k], None
             for a, e in own:
+                if self.whole[k]:
+                    got = self.at_edges(k, text, a, e)
+                    if got and (found is None or got < found):
+                        found = got
+                    continue
                 stretch = text[a:e]
                 at = stretch.find(item)
                 if at >= 0:
@@ -128,7 +160,22 @@ class Matcher:
                 if got[0] <= self.budget[k] and (found is None or got < found):
                     found = got
             if found:
-                yield k, *found
+                exact[k] = found
+        for k in sorted(exact):
+            yield k, *exact[k]
+
+    def at_edges(self, k: int, text: str, a: int, e: int) -> tuple[int, int] | None:
+        """The best (distance, end) within the item's budget of a part of text[a:e] that begins and ends at an edge."""
+        item, b = self.items[k], self.budget[k]
+        found = None
+        for i in range(a, e):
+            if is_edge(text, i):
+                for j in range(max(i + 1, i + len(item) - b), min(e, i + len(item) + b) + 1):
+                    if is_edge(text, j):
+                        got = (edits(item, text[i:j]), j)
+                        if got[0] <= b and (found is None or got < found):
+                            found = got
+        return found
 
 
 _MATCHERS: dict[str, Matcher] = {}
