@@ -1,5 +1,5 @@
-"""A corpus pipeline: toxic documents go, boilerplate lines go, one of each near-duplicate group stays,
-documents with benchmark passages go, and what is left is encoded by sampled pieces.
+"""A corpus pipeline: toxic documents go, boilerplate lines go, one of each near-duplicate group stays
+without the passages that several of those left share, documents with benchmark passages go, and what is left is encoded by sampled pieces.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows of its docs; labels and benchmark come
 from sf_dir. All but the last return the columns of documents; n_chars is counted anew where texts change.
@@ -26,7 +26,9 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ngram_join.one_of_each(docs).select(*docs.columns)
+    out = line_dedup.drop_passages(ngram_join.one_of_each(docs))
+    n_chars = F.when(F.col("n_dropped") > 0, F.length("text")).otherwise(F.col("n_chars"))
+    return out.withColumn("n_chars", n_chars.cast("bigint")).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

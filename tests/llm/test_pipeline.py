@@ -39,3 +39,11 @@ def test_stages(spark, sf_dir, tmp_path):
 def test_run_gives_the_last_stage(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "text", "ids", "n_pieces", "lossless"} <= set(out.columns) and out.count() > 0
+
+
+def test_passages_of_other_sources_go(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(200)) + "\n" + passage, f"s{i}", "en", 0) for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    got = corpus_pipeline.one_of_each(spark, corpus_pipeline.drop_boilerplate(spark, docs, ""), "").collect()
+    assert len(got) == 4 and all(passage not in r.text and r.n_chars == len(r.text) for r in got)

@@ -131,6 +131,16 @@ def test_line_dedup_by_salted_join(spark, monkeypatch):
     assert sorted((r.doc_id, r.text) for r in line_dedup.drop_boilerplate(pages).collect()) == [(i, f"own {i}") for i in range(20)]
 
 
+def test_passages_shared_between_hosts_go(spark):
+    shared, pair, short = (" ".join(f"{c}{i}" for i in range(n)) for c, n in (("p", 51), ("q", 51), ("r", 50)))
+    own = {i: "\n".join([f"own {i}", short, *([shared] if i < 3 else []), *([pair] if i < 2 else [])]) for i in range(5)}
+    rows = [(i, t, f"host {i}") for i, t in own.items()] + [(7, None, None), (8, "", None), (None, shared, "h")]
+    pages = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_dedup.drop_passages(pages).collect()}
+    want = {i: (t.replace("\n" + shared, ""), int(i < 3)) for i, t in own.items()} | {7: (None, 0), 8: ("", 0), None: ("", 1)}
+    assert got == want
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 

@@ -5,6 +5,9 @@ number of the host's pages that contain it divided by the host's pages; lines ab
 and on at least `min_pages` pages are boilerplate there and are dropped from its pages.
 Blank lines never count as boilerplate.
 
+Passages are lines of over `min_words` words on at least `min_pages` pages of the whole corpus, whatever their hosts.
+They are for pages of which copies have gone already; a copied page's lines would all count as passages.
+
 Nulls: a null host is a host of its own; a null text has no lines and stays null. A line that
 recurs within one page counts once for it. Repeated rows count as pages of their own. An
 empty table gives an empty result. All other columns pass through; names with a leading
@@ -17,7 +20,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from weir.llm.shared import materialize
 
-RATIO, MIN_PAGES = 0.05, 3
+RATIO, MIN_PAGES, PASSAGE_WORDS = 0.05, 3, 50
 #: A per-host list of at most this many bytes in all is broadcast; more are joined by host with hot hosts dealt over SALTS.
 BROADCAST_BYTES, SALTS = 8 << 20, 64
 
@@ -69,3 +72,19 @@ def drop_boilerplate(
     )
     out = joined.withColumns({"n_lines": n, "n_dropped": (n - F.when(F.col(text).isNull(), 0).otherwise(left)).cast("bigint"), text: kept})
     return out.drop("_host", "_keys")
+
+
+def drop_passages(pages: DataFrame, text: str = "text", min_words: int = PASSAGE_WORDS, min_pages: int = MIN_PAGES) -> DataFrame:
+    """pages with text without passages, and the added column n_dropped."""
+    long = F.filter(F.array_distinct(_lines("_text")), lambda v: F.size(F.split(F.trim(v), r"\s+")) > min_words)
+    lines = pages.select(_key(F.col(text)).alias("_page"), F.col(text).alias("_text")).select(
+        "_page", F.explode(F.transform(long, _key)).alias("_key")
+    )
+    lines = materialize(lines, "long_lines")
+    often = materialize(lines.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages).select("_key"), "passages")
+    found = lines.join(often, "_key").groupBy("_page").agg(F.collect_set("_key").alias("_keys"))
+    joined = pages.withColumn("_page", _key(F.col(text))).join(materialize(found, "passage_pages"), "_page", "left")
+    kept = F.filter(_lines(text), lambda v: ~F.array_contains("_keys", _key(v)))
+    n = F.when(F.col("_keys").isNull(), 0).otherwise(F.size(_lines(text)) - F.size(kept)).cast("bigint")
+    cut = F.when(F.col("_keys").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumns({"n_dropped": n, text: cut}).drop("_page", "_keys")
