@@ -14,7 +14,7 @@ from weir.llm import chunks, decontamination, fingerprints, licenses, line_dedup
 from weir.llm.queries import vocabulary
 
 EDGE = [(1, None), (2, ""), (3, "  \n "), (4, "word"), (5, "a b c d e f"), (5, "a b c d e f"), (None, "x y"), (6, "é日本🙂 ▁ \t z"), (7, "q" * 5000), (8, "one two three. " * 400)]
-ODD = ["a", "b", "'s", "'ll", "é", " ", "  ", "\n", ".", ",", "<|endoftext|>", "3", "²", "-", "\t", "日", "\xa0", "(", "|", '!"', "_", "🙂", "A", "▁"]
+ODD = ["a", "b", "'s", "'ll", "é", " ", "  ", "\n", ".", ",", "<|endoftext|>", "3", "²", "-", "\t", "日", "\xa0", "(", "|", '!"', "_", "🙂", "A", "▁", "×", "ß", "\x85", "\u2003", "\u3000", "ж", "'", "\r", "%%"]
 
 
 @pytest.fixture(scope="module")
@@ -29,19 +29,34 @@ def odd_texts(n, seed=5):
     return ["".join(draw.choice(ODD) for _ in range(draw.randint(0, 25))) for _ in range(n)]
 
 
-def test_chunks_join_to_the_text():
-    for t in odd_texts(500):
-        assert "".join(chunks.chunks(t)) == t
-        assert all("".join(chunks.parts_of(c)) == c for c in chunks.chunks(t) if c)
+@pytest.mark.parametrize("size", [1, 7, 50, 2_000_000])
+def test_parts_join_to_the_texts(size):
+    import pyarrow as pa
 
+    texts = [None, "", *odd_texts(300), "", "é" * 40, "x" * 90, "", None]
+    column = pa.array(["skipped", *texts])[1:]
+    joined, over = [b""] * len(texts), [0]
+    for part in chunks.segments(column, ["<|endoftext|>"], size):
+        for k, t in zip(part.place, part.text):
+            joined[t] += part.words[k]
+        over.append(part.over)
+    assert joined == [(t or "").encode() for t in texts] and over[-1] == len(texts) and over == sorted(over)
 
-def test_counts_and_ids_equal_the_library(bpe):
+
+def test_counts_and_ids_equal_the_library(bpe, monkeypatch):
     path = vocabulary("byte_bpe_50k.json")
-    counter, encoder, texts = token_counts.Counter(path), token_files.Encoder(path), odd_texts(3000)
-    for t, got in zip(texts, encoder.encode(texts)):
-        want = bpe.encode(t, add_special_tokens=False).ids
-        assert np.frombuffer(got, encoder.kind).tolist() == want
-        assert counter.count(t) == counter.whole(t) == len(want)
+    counter, encoder, texts = token_counts.Counter(path), token_files.Encoder(path), odd_texts(6000)
+    want = [bpe.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [counter.whole(t) for t in texts] == [*map(len, want)]
+    for size in (20, 2_000_000):
+        monkeypatch.setattr(chunks, "SEGMENT", size)
+        assert [x.tolist() for x in encoder.encode(texts)] == want
+        assert counter.counts(token_files.pa.array(texts)).tolist() == [*map(len, want)]
+
+
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError):
+        token_counts.Counter(vocabulary("word_bpe_49k.json"))
 
 
 def test_token_counts_of_odd_rows(spark, docs, bpe):

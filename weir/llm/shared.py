@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
@@ -12,6 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_LIMITS = {"spark.sql.execution.arrow.maxBytesPerBatch": "4194304", "spark.sql.execution.arrow.maxRecordsPerBatch": "4096"}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -58,6 +62,19 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def planned_bytes(df: DataFrame) -> int:
+    """Bytes that the planner expects of df; 0 where it can't tell."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return size if size < 1 << 60 else 0
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Rows go to Python in batches of bounded bytes, however long their texts are; a setting of the user's own stays."""
+    for key, value in BATCH_LIMITS.items():
+        if not spark.conf._jconf.contains(key):
+            spark.conf.set(key, value)
+
+
 def small(batches: Iterable[pa.RecordBatch], text: int | str, size: int = 1_000_000) -> Iterator[pa.RecordBatch]:
     """The batches in slices of about `size` bytes of the text column, so that few texts are Python strings at once."""
     for batch in batches:
@@ -75,6 +92,19 @@ _HELD: dict[str, Callable[[], object]] = {}
 
 def settle(name: str, clear: Callable[[], object]) -> None:
     """For a task: what other operators keep in this worker process, which Spark uses again and again, is dropped."""
-    for other in [k for k in _HELD if k != name]:
+    others = [k for k in _HELD if k != name]
+    for other in others:
         _HELD.pop(other)()
     _HELD[name] = clear
+    if others:
+        trim()
+
+
+def trim() -> None:
+    """Give freed memory back to the system; the C library otherwise keeps it for this process."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass

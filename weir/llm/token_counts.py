@@ -1,13 +1,16 @@
 """Token counts by byte-pair merging with a heap and a linked list; no ids are made.
 
-The vocabulary file gives the merges in rank order, the pre-tokenizer's pattern and the added
-special strings. A text is cut at the special strings (one token each), then by the pattern.
+The vocabulary file gives the merges in rank order and the added special strings; the pattern is that of
+byte-level pre-tokenizers, and files with another pre-tokenizer, a normalizer, or special strings that look at
+their surroundings are refused. A text is cut at the special strings (one token each), then by the pattern.
 A piece starts as one symbol a byte, in a doubly linked list; the lowest-ranked adjacent pair
 (leftmost of equals) is popped again and again from a heap and merged. The piece's count is its
-bytes less the merges done. Counts of pieces are kept in a dictionary of bounded size.
+bytes less the merges done. Each distinct part of a text is counted once a segment, and counts of parts
+are kept in a dictionary of bounded size.
 
 Nulls: a null text counts as empty: 0 bytes, 0 tokens. Repeated rows are counted each; an
-empty table gives an empty result; other columns pass through.
+empty table gives an empty result. A text of any length is worked on in segments of bounded size. Other columns pass
+through; columns called n_bytes, n_tokens or over_limit are replaced.
 """
 
 from __future__ import annotations
@@ -17,13 +20,17 @@ import json
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from weir.llm.chunks import Memo, chunks
+from weir.llm.chunks import Memo, check_vocabulary, segments
+from weir.llm.shared import bounded_batches, settle
 from weir.session import ship
 
 #: Fixed value: the pattern of byte-level pre-tokenizers.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Parts whose counts are kept.
+KEPT = 600_000
 _COUNTERS: dict[str, "Counter"] = {}
 
 
@@ -45,6 +52,7 @@ class Counter:
     def __init__(self, path: str):
         import regex
 
+        self.strings = check_vocabulary(path)
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         symbols: dict[str, int] = {c: b for b, c in enumerate(byte_letters())}
@@ -53,12 +61,10 @@ class Counter:
             a, b = m if isinstance(m, list) else m.split(" ")
             made = symbols.setdefault(a + b, len(symbols))
             self.rank.setdefault((symbols[a], symbols[b]), (k, made))
-        special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
+        special = sorted(self.strings, key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.strings = special
         self.pattern = regex.compile(PATTERN)
-        self.pieces = Memo(self.piece)
-        self.chunks = Memo(self.whole)
+        self.parts = Memo(lambda part: self.whole(part.decode()), KEPT)
 
     def piece(self, piece: str) -> int:
         """Tokens of one pre-token: its bytes less the merges."""
@@ -87,17 +93,22 @@ class Counter:
         return n - merges
 
     def plain(self, text: str) -> int:
-        return sum(map(self.pieces.__getitem__, self.pattern.findall(text)))
+        return sum(map(self.piece, self.pattern.findall(text)))
 
     def whole(self, text: str) -> int:
-        """Tokens of a text, without cutting it at spaces first."""
+        """Tokens of a text, without cutting it into parts first."""
         if self.special is None or not any(x in text for x in self.strings):
             return self.plain(text)
         parts = self.special.split(text)
         return len(parts) - 1 + sum(map(self.plain, parts))
 
-    def count(self, text: str) -> int:
-        return sum(map(self.chunks.__getitem__, chunks(text)))
+    def counts(self, column: pa.Array) -> np.ndarray:
+        """Tokens of each text."""
+        out = np.zeros(len(column), np.int64)
+        for part in segments(column, self.strings):
+            own = np.fromiter(map(self.parts.__getitem__, part.words), np.int64, len(part.words))
+            out += np.bincount(part.text, own[part.place], len(out)).astype(np.int64)
+        return out
 
 
 def counter(path: str) -> Counter:
@@ -109,16 +120,18 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, tokenizer: str, limit: int = 1024, text: str = "text") -> DataFrame:
     """docs with n_bytes, n_tokens and over_limit (n_tokens > limit)."""
     ship(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
 
     def count(batches):
+        settle("token counts", _COUNTERS.clear)
         own = counter(tokenizer)
         for batch in batches:
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            sizes = [len(x.encode()) if x else 0 for x in texts]
-            tokens = np.array([own.count(x) if x else 0 for x in texts], np.int64)
+            texts = batch.column(batch.schema.names.index(text))
+            sizes = pc.fill_null(pc.binary_length(texts), 0).cast(pa.int64())
+            tokens = own.counts(texts)
             kept = [(f, c) for f, c in zip(batch.schema, batch.columns) if f.name != text]
             yield pa.RecordBatch.from_arrays(
-                [*(c for _, c in kept), pa.array(sizes, pa.int64()), pa.array(tokens), pa.array(tokens > limit)],
+                [*(c for _, c in kept), sizes, pa.array(tokens), pa.array(tokens > limit)],
                 [*(f.name for f, _ in kept), "n_bytes", "n_tokens", "over_limit"],
             )
 

@@ -25,60 +25,70 @@ import pyarrow as pa
 from pyarrow import fs, ipc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weir.llm.chunks import chunks, parts_of
-from weir.llm.shared import scratch_path
+from weir.llm.chunks import check_vocabulary, segments
+from weir.llm.shared import bounded_batches, planned_bytes, scratch_path, settle
 from weir.session import ship
 
 LENGTH, ROWS, END_ID = 1024, 256, 0
-#: Characters whose chunks are encoded together, chunks kept, and the longest chunk kept.
-BATCH_CHARS, KEPT, LONGEST = 4_000_000, 1 << 19, 64
+#: Parts kept, the longest one kept, and parts that the library encodes at once.
+KEPT, LONGEST, BLOCK = 500_000, 48, 10_000
+#: Bytes of input a file is for, at most, and at least where that gives fewer files than shuffle partitions.
+FILE_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
 _ENCODERS: dict[str, "Encoder"] = {}
 
 
 class Encoder:
-    """Ids of texts as bytes; the library encodes each distinct part of a chunk once."""
+    """Ids of texts; the library encodes each distinct part of a segment once, and parts met before not again."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
+        self.special = check_vocabulary(path)
         self.own = Tokenizer.from_file(path)
         self.kind = np.dtype("<u2" if self.own.get_vocab_size() <= 1 << 16 else "<u4")
-        self.special = [t.content for t in self.own.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [chunks(x) for x in texts]
-        if len(self.kept) > KEPT:
-            self.kept.clear()
+        self.kept: dict[bytes, bytes] = {}
+
+    def words(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as bytes."""
         kept = self.kept
-        new = [*{c for w in cut for c in w if c not in kept}]
-        parts = [[c] if any(s in c for s in self.special) else parts_of(c) for c in new]
-        words = self.words
-        if len(words) > KEPT:
-            words.clear()
-        fresh = [*{p for w in parts for p in w if p not in words}]
-        got = self.own.encode_batch_fast(fresh, add_special_tokens=False)
-        words.update((p, np.array(x.ids, self.kind).tobytes()) for p, x in zip(fresh, got))
-        kept.update((c, b"".join(map(words.__getitem__, w))) for c, w in zip(new, parts))
-        out = [b"".join(map(kept.__getitem__, w)) for w in cut]
-        for held, keys in ((kept, new), (words, fresh)):
-            for c in keys:
-                if len(c) > LONGEST:
-                    del held[c]
+        out = [kept.get(w) for w in words]
+        new = [k for k, x in enumerate(out) if x is None]
+        if len(kept) + len(new) > KEPT:
+            kept.clear()
+        for at in range(0, len(new), BLOCK):
+            own = new[at : at + BLOCK]
+            got = self.own.encode_batch_fast([words[k].decode() for k in own], add_special_tokens=False)
+            for k, x in zip(own, got):
+                out[k] = ids = np.array(x.ids, self.kind).tobytes()
+                if len(words[k]) <= LONGEST:
+                    kept[words[k]] = ids
         return out
 
-    def groups(self, texts: list[str | None]):
-        """encode() over slices of about BATCH_CHARS characters."""
-        held, size = [], 0
-        for x in texts:
-            held.append(x or "")
-            size += len(held[-1])
-            if size >= BATCH_CHARS:
-                yield from self.encode(held)
-                held, size = [], 0
-        yield from self.encode(held)
+    def column(self, column: pa.Array, end: bytes = b"") -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
+        """(ids, counts, over) of each segment: counts are the ids that each text of the column has in it, over how many texts are over.
+
+        The end id, where given, follows each text and is counted.
+        """
+        done, n = 0, len(column)
+        for part in segments(column, self.special):
+            flat = pa.array(self.words(part.words), pa.binary()).take(pa.array(part.place))
+            offsets = np.frombuffer(flat.buffers()[1], np.int32)[: len(flat) + 1]
+            ids = np.frombuffer(flat.buffers()[2] or b"", self.kind)[: (offsets[-1] if len(flat) else 0) // self.kind.itemsize]
+            counts = np.bincount(part.text, np.diff(offsets) // self.kind.itemsize, n).astype(np.int64)
+            if end:
+                ids = np.insert(ids, np.cumsum(counts)[done : part.over], np.frombuffer(end, self.kind))
+                counts[done : part.over] += 1
+            yield ids, counts, part.over
+            done = part.over
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not texts:
+            return []
+        got = [*self.column(pa.array(texts, pa.string()))]
+        flat, counts = np.concatenate([x[0] for x in got]), sum(x[1] for x in got)
+        return np.split(flat, np.cumsum(counts)[:-1])
 
 
 def encoder(path: str) -> Encoder:
@@ -166,6 +176,7 @@ def write_token_files(
         store, root = _store(folder)
         store.create_dir(root, recursive=True)
         name, temp = f"{root}/part-{part:06d}", f"{root}/_{uuid.uuid4().hex}"
+        settle("token ids", _ENCODERS.clear)
         own, at, n = encoder(tokenizer), 0, 0
         kind = own.kind
         end = np.array([end_id], kind).tobytes()
@@ -175,15 +186,13 @@ def write_token_files(
             if seq is None:
                 out, lists = store.open_output_stream(f"{temp}.arrow"), store.open_output_stream(f"{temp}.index")
                 seq, head = SequenceFile(out, length, rows, kind), ipc.new_file(lists, index)
-            places = []
-            for ids in own.groups(batch.column(1).to_pylist()):
-                ids += end
-                seq.add(ids)
-                places.append((at, len(ids) // kind.itemsize))
-                at += places[-1][1]
-            starts, sizes = zip(*places) if places else ((), ())
-            head.write_batch(pa.record_batch([batch.column(0), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64())], schema=index))
-            n += len(places)
+            sizes = np.zeros(batch.num_rows, np.int64)
+            for ids, counts, _ in own.column(batch.column(1), end):
+                seq.add(ids.tobytes())
+                sizes += counts
+            starts = at + np.cumsum(sizes) - sizes
+            head.write_batch(pa.record_batch([batch.column(0), pa.array(starts), pa.array(sizes)], schema=index))
+            n, at = n + len(sizes), at + int(sizes.sum())
         if seq is not None:
             seq.close()
             head.close()
@@ -195,8 +204,11 @@ def write_token_files(
 
     spark = docs.sparkSession
     ship(spark)
+    bounded_batches(spark)
     own = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if size := planned_bytes(docs):
+        parts = max(1, -(-size // FILE_BYTES), min(parts, -(-size // LEAST_BYTES)))
     ordered = own.repartitionByRange(parts, "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
     made = ordered.mapInArrow(write, "part long, file string, n_docs long, n_ids long")
     made.write.mode("overwrite").parquet(f"{folder}/manifest")
