@@ -9,8 +9,8 @@ import pytest
 from weir.llm import ngram_join
 
 
-def brute(rows, threshold=0.8):
-    """doc row number -> (class id, copies, links, linked documents, group id)."""
+def brute(rows, threshold=0.8, leads=False):
+    """For each row (doc_id, class id, copies, links, linked documents, group id); or how many groups have each id."""
     sets = []
     for _, text in rows:
         w = re.findall(r"\w+", (text or "").lower())
@@ -21,7 +21,7 @@ def brute(rows, threshold=0.8):
     keys = list(classes)
     lead = {s: min((d for d in classes[s] if d is not None), default=None) for s in keys}
     linked = {s: {t for t in keys if t != s and s and t and len(s & t) >= threshold * len(s | t) - 1e-9} for s in keys}
-    out = {}
+    out, found = {}, set()
     for s in keys:
         seen, todo = {s}, [s]
         while todo:
@@ -29,8 +29,11 @@ def brute(rows, threshold=0.8):
                 seen.add(t)
                 todo.append(t)
         group = min((lead[t] for t in seen if lead[t] is not None), default=None)
+        found.add((frozenset(seen), group))
         n = len(classes[s])
         out[s] = (lead[s], n, len(linked[s]), sum(len(classes[t]) for t in linked[s]) + n - 1, group)
+    if leads:
+        return Counter(g for _, g in found)
     return [(d, *out[s]) for (d, _), s in zip(rows, sets)]
 
 
@@ -49,9 +52,10 @@ def corpus(seed):
 EDGE = [(1, None), (2, ""), (3, " \n"), (4, "one"), (5, "One!"), (6, "a b c d e"), (6, "other text here with more words"), (None, "z y x w v u"), (None, "z y x w v u")]
 
 
-@pytest.mark.parametrize("block", [150, 4])
-def test_against_brute_force(spark, docs, monkeypatch, block):
-    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", block)
+@pytest.mark.parametrize("block, spread, most", [(150, 12, 1500), (4, 2, 6), (2, 50, 50)])
+def test_against_brute_force(spark, docs, monkeypatch, block, spread, most):
+    for name, value in (("BLOCK_ROWS", block), ("SPREAD", spread), ("MOST_ROWS", most)):
+        monkeypatch.setattr(ngram_join, name, value)
     rows = EDGE + corpus(block)
     got = ngram_join.ngram_join(docs(rows)).collect()
     assert Counter(tuple(r) for r in got) == Counter(brute(rows))
@@ -60,9 +64,20 @@ def test_against_brute_force(spark, docs, monkeypatch, block):
 def test_one_of_each(spark, docs):
     rows = EDGE + corpus(7)
     kept = ngram_join.one_of_each(docs(rows))
-    want = {d for d, _, _, _, _, g in brute(rows) if d is not None and d == g}
-    assert {r.doc_id for r in kept.collect() if r.doc_id is not None} == want
-    assert set(kept.columns) == set(docs([]).columns)
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert Counter(d for d, _ in got.elements()) == brute(rows, leads=True)
+    assert not got - Counter(rows) and kept.columns == docs([]).columns
+
+
+def test_one_of_each_goes_by_row(spark):
+    a = " ".join(f"a{i}" for i in range(40))
+    b = " ".join(f"b{i}" for i in range(40))
+    rows = [(6, a, None), (7, a + " x", "y"), (6, b + " x", "z"), (1, b, "w"), (9, None, "n"), (9, "", "n"), (None, a, "v")]
+    made = spark.createDataFrame(rows, "doc_id int, text string, row string")
+    got = sorted((r.doc_id, r.text or "", r.row) for r in ngram_join.one_of_each(made).collect())
+    assert [g[:2] for g in got] == [(1, b), (6, a), (9, "")] and got[0][2] == "w" and got[1][2] is None
+    assert ngram_join.one_of_each(made).schema["doc_id"].dataType == made.schema["doc_id"].dataType
+    assert ngram_join.one_of_each(made.where("false")).collect() == []
 
 
 def test_empty(spark, docs):

@@ -139,6 +139,46 @@ def test_line_dedup_against_brute_force(spark):
     assert line_dedup.drop_boilerplate(pages.where("false")).collect() == []
 
 
+def test_fingerprints_weigh_terms_unevenly(spark):
+    draw, rows, want = random.Random(3), [], []
+    line = "go to the next page now "  # 6 words, so its shingles recur
+    for times in (1, 30, 1000):
+        for n in (0, 20, 60, 400):
+            for shared in (0.0, 0.5, 1.0):
+                for more in (1, 3):
+                    fresh = [[f"{c}{draw.randint(0, 10**9)}" for _ in range(n)] for c in "uvw"]
+                    cut = int(n * shared)
+                    a, b = line * times + " ".join(fresh[0]), line * (times * more) + " ".join(fresh[0][:cut] + fresh[1][cut:])
+                    grams = [Tally(zip(*[x.split()[i:] for i in range(5)])) for x in (a, b)]
+                    want.append(sum((grams[0] & grams[1]).values()) / sum((grams[0] | grams[1]).values()))
+                    rows.append((a, b))
+    df = spark.createDataFrame(rows, "a string, b string").withColumns({"x": fingerprints.signature("a"), "y": fingerprints.signature("b")})
+    off = np.array([r.n for r in df.select(fingerprints.likeness("x", "y").alias("n")).collect()]) - want
+    assert np.abs(off).mean() < 0.03 and np.abs(off).max() < 0.15 and abs(off.mean()) < 0.012
+
+
+def test_fingerprints_of_rows_without_ids(spark, docs):
+    rows = [(None, f"text number {i}") for i in range(40)] + [(i, f"own {i}") for i in range(5)] + [(None, "text number 3")]
+    got = fingerprints.fingerprints(docs(rows), buckets=4).collect()
+    hashes = {r.t: r.h for r in spark.createDataFrame(sorted({t for _, t in rows}), "string").toDF("t").select("t", fingerprints.F.xxhash64("t").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), -hashes[r[1]] if r[0] is None else 0, r[1]))
+    want = []
+    for (i, t), (_, after) in zip(order, order[1:] + order[:1]):
+        third = len(t) // 3
+        want.append((i, hashlib.sha256((t[: len(t) - third] + after[:third]).encode()).hexdigest()))
+    assert Tally((r.doc_id, r.edited_sha256) for r in got) == Tally(want)
+
+
+def test_line_dedup_passes_any_names_on(spark):
+    rows = [(i, f"menu\nown {i}", "h", 1, 2, 3, 4, 5, 6) for i in range(6)]
+    names = "doc_id long, text string, source string, _host int, _keys int, line_keys int, host_of_keys int, n_lines int, page_key int"
+    pages = spark.createDataFrame(rows, names)
+    for got in (line_dedup.drop_boilerplate(pages), line_dedup.drop_passages(pages, min_words=0)):
+        assert {(r.doc_id, r.text, r._host, r._keys, r.line_keys, r.host_of_keys, r.page_key, r.n_dropped) for r in got.collect()} == {
+            (i, f"own {i}", 1, 2, 3, 4, 6, 1) for i in range(6)
+        }
+
+
 def test_line_dedup_by_salted_join(spark, monkeypatch):
     rows = [(i, f"menu\nown {i}", "h") for i in range(20)]
     pages = spark.createDataFrame(rows, "doc_id long, text string, source string")
@@ -313,6 +353,16 @@ def test_decontamination_finds_edited_passages(spark, docs):
     assert decontamination.matches(docs([]), benchmark).collect() == []
 
 
+def test_leaks_go_by_row(spark):
+    item = "who wrote the long poem of the sea and of the journey home, in the old tongue?"
+    rows = [(None, f"q: {item}", 1), (5, f"x {item} y", 2), (5, "clean", 3), (None, None, 4)]
+    made = spark.createDataFrame(rows, "doc_id long, text string, n int")
+    benchmark = spark.createDataFrame([(1, item), (2, "another item that is nowhere to be found in it"), (None, None)], "item_id long, text string")
+    for block in (decontamination.BLOCK_CHARS, 50):
+        assert sorted(r.n for r in decontamination.without_leaks(made, benchmark, block_chars=block).collect()) == [3, 4]
+    assert decontamination.without_leaks(made, benchmark.where("false")).count() == 4
+
+
 def test_short_items_match_at_word_edges(spark, docs):
     items = [(1, "Paris"), (2, "who wrote the odyssey?"), (3, "東京"), (4, ""), (5, "42")]
     rows = [

@@ -18,7 +18,8 @@ match_end (where in the normalised text the first best match ends, exclusive).
 
 Nulls: a null text or item counts as empty and has no matches; rows with null doc_id or item_id are
 reported with nulls. Repeated rows give repeated results; so do items with equal texts. Empty tables
-give an empty result. Other columns are ignored.
+give an empty result. A text of any length is searched whole, as one row. Other columns are ignored; without_leaks judges
+each row by its own text, whatever its doc_id, and passes all columns on.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weir.llm.shared import materialize, small
+from weir.llm.shared import bounded_batches, settle, small
 from weir.session import ship
 
 ERRORS, MIN_CHARS, BLOCK_CHARS = 0.05, 40, 4_000_000
@@ -194,23 +195,36 @@ def _blocks(benchmark: DataFrame, block_chars: int) -> Iterator[list[tuple]]:
         yield held
 
 
+def _finder(spark, block: list[tuple], errors: float, min_chars: int):
+    """A function for tasks that gives the matcher of a block of items and their ids."""
+    sent, name = spark.sparkContext.broadcast(block), uuid.uuid4().hex
+
+    def matcher() -> tuple[Matcher, list]:
+        settle("benchmark", _MATCHERS.clear)
+        if name not in _MATCHERS:
+            _MATCHERS.clear()
+            _MATCHERS[name] = Matcher([t for _, t in sent.value], errors, min_chars)
+        return _MATCHERS[name], [i for i, _ in sent.value]
+
+    return matcher
+
+
+def _items(benchmark: DataFrame) -> DataFrame:
+    return benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_chars: int = BLOCK_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:
     """docs (doc_id, text) against benchmark (item_id, text)."""
     spark = docs.sparkSession
     ship(spark)
+    bounded_batches(spark)
     own = docs.select(F.col("doc_id").cast("bigint"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, item_id long, distance int, match_end long"
-    items = benchmark.select(F.col("item_id").cast("bigint"), F.col("text").cast("string"))
     out = None
-    for block in _blocks(items, block_chars):
-        sent = spark.sparkContext.broadcast(block)
-        name = uuid.uuid4().hex
-
-        def run(batches, sent=sent, name=name):
-            if name not in _MATCHERS:
-                _MATCHERS.clear()
-                _MATCHERS[name] = Matcher([t for _, t in sent.value], errors, min_chars)
-            matcher, ids = _MATCHERS[name], [i for i, _ in sent.value]
+    for block in _blocks(_items(benchmark), block_chars):
+
+        def run(batches, finder=_finder(spark, block, errors, min_chars)):
+            matcher, ids = finder()
             for batch in small(batches, 1):
                 rows = [
                     (doc, ids[k], d, end)
@@ -227,7 +241,20 @@ def matches(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block
     return spark.createDataFrame([], schema) if out is None else out
 
 
-def without_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS) -> DataFrame:
-    """docs without those that hold an item."""
-    found = matches(docs, benchmark, errors).where("doc_id is not null").select("doc_id").distinct()
-    return docs.join(materialize(found, "leaks"), "doc_id", "left_anti").select(*docs.columns)
+def without_leaks(docs: DataFrame, benchmark: DataFrame, errors: float = ERRORS, block_chars: int = BLOCK_CHARS, min_chars: int = MIN_CHARS) -> DataFrame:
+    """The rows of docs whose text holds no item, whatever their doc_id; each block of items passes on what it leaves."""
+    spark = docs.sparkSession
+    ship(spark)
+    bounded_batches(spark)
+    schema = docs.schema
+    for block in _blocks(_items(benchmark), block_chars):
+
+        def run(batches, finder=_finder(spark, block, errors, min_chars)):
+            matcher, _ = finder()
+            for batch in small(batches, "text"):
+                texts = batch.column("text").to_pylist()
+                clean = [not x or next(matcher.find(normal(x)), None) is None for x in texts]
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(run, schema)
+    return docs

@@ -1,17 +1,22 @@
 """Document fingerprints by consistent weighted sampling, in DataFrame functions only.
 
 A text's weighted terms are its five-word shingles (lower-cased runs of letters and digits;
-a text of one to four words is a single shingle) with their counts as weights. Each term is
-dealt by its hash to one of 128 slots. Within a slot the term gets the gamma-based sample
+a text of one to four words is a single shingle) with their counts as weights. A term of weight w is w units, and each
+unit, told apart by its number from 1 to w, is dealt by a hash to one of 2 ** SLOT_BITS slots, so that a slot holds its even share of the
+text's whole weight, however it is spread over terms. Within a slot a term weighs as many units as it has there and gets the gamma-based sample
 of consistent weighted sampling: r, c ~ Gamma(2, 1), beta ~ U(0, 1),
 t = floor(ln w / r + beta), ln a = ln c - r (t - beta + 1); the slot keeps (term, t) of the
-least a. Two texts agree in a slot with probability equal to the generalised Jaccard
-similarity of their terms there, so the share of agreeing slots among those that either text
-fills estimates the similarity of the whole.
+least a. Two texts agree in a slot with probability equal to the generalised Jaccard similarity of their weights there.
+
+Why the share of agreeing slots, among those that either text fills, estimates the similarity of the whole: units 1 to min(w, v) of a term
+are dealt alike in both texts, so the slots' minima and maxima add up to those of the whole. The union's units are dealt at
+random, so a slot that got m of them has m J of the common ones in expectation, whatever m: each filled
+slot agrees with probability J, the generalised Jaccard similarity.
 
 Nulls: a null text counts as empty. Texts without words have an empty fingerprint and
 likeness 1.0 to each other, 0.0 to others. Equal texts have equal fingerprints. Rows with
-equal doc_id are ordered by text; null doc_id sorts last. An empty table gives an empty result.
+equal doc_id are ordered by text; null doc_id sorts last, by a hash of the text. An empty table gives an empty result.
+A text of any length is one row's work, its memory in proportion to its words.
 Columns other than doc_id and text are ignored.
 """
 
@@ -19,9 +24,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-SLOT_BITS = 7
-ID_BITS = 23
+SLOT_BITS = 8
+ID_BITS = 16
 SHINGLE = 5
+#: Bits of a sample's a in the key that slots are sorted by.
+A_BITS = 63 - SLOT_BITS - ID_BITS
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -41,15 +48,15 @@ _U2 = _unit("shiftrightunsigned(xxhash64(x, 23L), 32)")
 
 
 def _pack(a: str, identity: str) -> str:
-    """A sortable long: slot of x, then the sample's a, then the identity of (term, t)."""
+    """A sortable long: slot of x, then the sample's a (below 64, as c is below 46 and u1 at most 1), then the identity of (term, t)."""
     return (
-        f"(shiftleft(x & {2**SLOT_BITS - 1}L, {63 - SLOT_BITS}) | shiftleft(floor({a} * 134217728D), {ID_BITS}) "
+        f"(shiftleft(x & {2**SLOT_BITS - 1}L, {63 - SLOT_BITS}) | shiftleft(floor({a} * {2 ** (A_BITS - 6)}D), {ID_BITS}) "
         f"| ({identity} & {2**ID_BITS - 1}L))"
     )
 
 
 def signature(name: str) -> Column:
-    """array<int> for the string column called name: slot and sample identity of each filled slot, in slot order."""
+    """array<int> for the string column called name: slot and sample identity of each filled slot, by slot."""
     words = f"array_remove(split(lower(`{name}`), '[^\\\\p{{L}}\\\\p{{N}}]+'), '')"
     grams = ", ".join(f"w[i + {k}]" for k in range(SHINGLE))
     shingles = _let(
@@ -59,19 +66,24 @@ def signature(name: str) -> Column:
         f"when size(w) < {SHINGLE} then array(xxhash64(array_join(w, ' '))) "
         f"else transform(sequence(0, size(w) - {SHINGLE}), i -> xxhash64({grams})) end",
     )
+    # Units beyond a term's first: in sorted shingles o, occurrence k of a term goes to the slot that a hash of (term, k) names.
+    start = "filter(sequence(0, size(more) - 1), i -> if(i = 0, true, more[i] <> more[i - 1]))"
+    count = "if(j + 1 < size(st), st[j + 1], size(more)) - p"
+    low = 2**SLOT_BITS - 1
+    own = f"if(v = (x & {low}L), x, (xxhash64(x, v, 7L) & {-low - 1}L) | v)"  # the term's hash for that slot, its last bits the slot
+    spread = _let(f"xxhash64(x, cast(k as bigint)) & {low}L", "v", own)
+    units = _let(start, "st", f"flatten(transform(st, (p, j) -> {_let('more[p]', 'x', f'transform(sequence(2, 1 + {count}), k -> {spread})')}))")
+    later = _let("sort_array(g)", "o", "filter(o, (v, i) -> if(i = 0, false, v = o[i - 1]))")
+    beyond = _let(later, "more", f"concat(e, {units})")
+    shingles = _let(shingles, "g", _let("array_distinct(g)", "e", f"if(size(e) = size(g), g, {beyond})"))
     # Weight 1: t = 0 and a = c u1. Any weight: t = floor(ln w / r + beta), a = c u1 exp(-r t).
     once = _pack(f"{_C} * {_U1}", f"shiftright(x, {SLOT_BITS})")
     e1, e2 = f"(-ln({_U1}))", f"(-ln({_U2}))"
     t = f"floor((ln(cast(n as double)) + {e2}) / ({e1} + {e2}))"
     ident = f"if(t = 0, shiftright(x, {SLOT_BITS}), xxhash64(x, t))"
     many = _let(t, "t", _pack(f"{_C} * {_U1} * exp(-({e1} + {e2}) * t)", ident))
-    # Terms that recur: more holds every occurrence but the first, sorted; st where each term starts in it.
-    count = "1 + if(j + 1 < size(st), st[j + 1], size(more)) - p"
-    recur = _let(
-        "filter(sequence(0, size(more) - 1), i -> if(i = 0, true, more[i] <> more[i - 1]))",
-        "st",
-        f"transform(st, (p, j) -> {_let('more[p]', 'x', _let(count, 'n', many))})",
-    )
+    # Units of a term that share a slot: more holds all but the first of each, sorted; st where each starts in it.
+    recur = _let(start, "st", f"transform(st, (p, j) -> {_let('more[p]', 'x', _let(f'1 + {count}', 'n', many))})")
     more = _let("sort_array(s)", "o", "filter(o, (v, i) -> if(i = 0, false, v = o[i - 1]))")
     weighted = _let(more, "more", f"concat(transform(array_except(d, more), x -> {once}), {recur})")
     samples = f"if(size(d) = size(s), transform(d, x -> {once}), {weighted})"
@@ -94,7 +106,7 @@ def likeness(a: str, b: str) -> Column:
 
 
 def as_hex(name: str) -> Column:
-    return F.array_join(F.transform(name, lambda v: F.lpad(F.lower(F.hex(v)), 8, "0")), "")
+    return F.array_join(F.transform(name, lambda v: F.lpad(F.lower(F.hex(v)), (SLOT_BITS + ID_BITS) // 4, "0")), "")
 
 
 def with_next(docs: DataFrame, order: str, carried: list[str], buckets: int) -> DataFrame:
@@ -102,24 +114,30 @@ def with_next(docs: DataFrame, order: str, carried: list[str], buckets: int) ->
 
     Rows are dealt into buckets between quantiles of the order column, which are values that
     occur; the row that opens a bucket is also sent to the bucket before it, so one shuffle
-    and a window within each bucket suffice and no task sees all rows.
+    and a window within each bucket suffice and no task sees all rows. Rows without a value follow, by descending
+    hash of the first carried column, in buckets that are ranges of that hash.
     """
+    key, text = F.col(order), F.col(carried[0])
     cut = docs.agg(
         F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10000).alias("cuts"),
         F.max(order).alias("top"),
     ).first()
     cuts = sorted({*(cut["cuts"] or []), *([] if cut["top"] is None else [cut["top"]])}, reverse=True)
-    key = F.col(order)
-    # Bucket b holds the ids from cuts[b - 1] (which opens it) down to just above cuts[b]; nulls follow in the last one.
-    bounds = F.array(*[F.lit(c).cast("bigint") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    bucket = F.when(key.isNull(), F.lit(len(cuts))).otherwise(F.size(F.filter(bounds, lambda c: c >= key)))
-    first = F.lit(cuts[0]).cast("bigint") if cuts else F.lit(None).cast("bigint")
-    before = F.when(F.array_contains(bounds, key), F.when(key == first, len(cuts)).otherwise(bucket - 1))
-    if not cuts:  # no id at all: one bucket that closes on itself
-        before = F.lit(0)
+    mark = F.xxhash64(text)
+    none = docs.where(key.isNull()).select(mark.alias("h")).groupBy(F.floor(F.col("h").cast("double") / 2.0**64 * buckets)).agg(F.max("h").alias("h"))
+    marks = sorted((r["h"] for r in none.collect()), reverse=True)
+
+    def values(held: list[int]) -> Column:
+        return F.array(*[F.lit(c).cast("bigint") for c in held]) if held else F.array().cast("array<bigint>")
+
+    # Buckets 1 to len(cuts) are from cuts[b - 1], which opens them, down to just above cuts[b]; then those without a value.
+    bounds, last = F.when(key.isNull(), values(marks)).otherwise(values(cuts)), len(cuts) + len(marks)
+    at = F.coalesce(key.cast("bigint"), mark)
+    bucket = F.when(key.isNull(), len(cuts)).otherwise(0) + F.size(F.filter(bounds, lambda c: c >= at))
+    before = F.when(F.array_contains(bounds, at), F.when(bucket == 1, last).otherwise(bucket - 1))
     sent = docs.withColumn("_at", F.explode(F.array(F.struct(bucket.alias("b"), F.lit(0).alias("ghost")), F.struct(before.alias("b"), F.lit(1).alias("ghost")))))
     sent = sent.where("_at.b is not null").select("*", "_at.b", "_at.ghost").drop("_at")
-    w = Window.partitionBy("b").orderBy("ghost", F.col(order).desc_nulls_last(), *[F.col(c) for c in carried[:1]])
+    w = Window.partitionBy("b").orderBy("ghost", key.desc_nulls_last(), F.when(key.isNull(), mark).desc(), text)
     for c in carried:
         sent = sent.withColumn(f"next_{c}", F.lead(c).over(w))
     return sent.where("ghost = 0").drop("b", "ghost")

@@ -10,8 +10,8 @@ They are for pages of which copies have gone already; a copied page's lines woul
 
 Nulls: a null host is a host of its own; a null text has no lines and stays null. A line that
 recurs within one page counts once for it. Repeated rows count as pages of their own. An
-empty table gives an empty result. All other columns pass through; names with a leading
-underscore that this module uses must not occur.
+empty table gives an empty result. A page of any length is handled whole, within its row. All other columns pass
+through, whatever their names, but for n_lines and n_dropped, which are replaced.
 """
 
 from __future__ import annotations
@@ -33,58 +33,69 @@ def _lines(text) -> Column:
     return F.split(F.col(text), "\n", -1)
 
 
+def _free(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that no column of df has, whatever the case of its letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
 def boilerplate(pages: DataFrame, text: str, host: str, ratio: float = RATIO, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(_host, _lines): each host's boilerplate line keys. At most (lines a page) / ratio for a host."""
-    named = pages.select(F.col(host).alias("_host"), F.col(text).alias("_text"))
-    total = named.groupBy("_host").agg(F.count("*").alias("_pages"))
+    """(host, keys): each host's boilerplate line keys. At most (lines a page) / ratio for a host."""
+    named = pages.select(F.col(f"`{host}`").alias("host"), F.col(f"`{text}`").alias("text"))
+    total = named.groupBy("host").agg(F.count("*").alias("pages"))
     seen = (
-        named.select("_host", F.explode(F.array_distinct(_lines("_text"))).alias("_line"))
-        .where(F.trim("_line") != "")
-        .select("_host", _key(F.col("_line")).alias("_key"))
-        .groupBy("_host", "_key")
-        .agg(F.count("*").alias("_n"))
-        .where(F.col("_n") >= min_pages)
+        named.select("host", F.explode(F.array_distinct(_lines("text"))).alias("line"))
+        .where(F.trim("line") != "")
+        .select("host", _key(F.col("line")).alias("key"))
+        .groupBy("host", "key")
+        .agg(F.count("*").alias("n"))
+        .where(F.col("n") >= min_pages)
     )
-    often = seen.join(total, seen["_host"].eqNullSafe(total["_host"])).where(F.col("_n") > ratio * F.col("_pages"))
-    return often.select(seen["_host"], "_key").groupBy("_host").agg(F.collect_list("_key").alias("_keys"))
+    often = seen.join(total, seen["host"].eqNullSafe(total["host"])).where(F.col("n") > ratio * F.col("pages"))
+    return often.select(seen["host"], "key").groupBy("host").agg(F.collect_list("key").alias("keys"))
 
 
 def drop_boilerplate(
     pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES
 ) -> DataFrame:
-    """pages with text cleaned, and the added columns n_lines and n_dropped."""
+    """pages with text cleaned, and the columns n_lines and n_dropped, which replace any of these names."""
     found = materialize(boilerplate(pages, text, host, ratio, min_pages), "boilerplate")
-    small = (found.select(F.sum(16 * F.size("_keys") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    small = (found.select(F.sum(16 * F.size("keys") + 64)).first()[0] or 0) <= BROADCAST_BYTES
+    pages = pages.drop("n_lines", "n_dropped")
+    of, keys, salt = _free(pages, "host_of_keys", "line_keys", "salt")
+    found = found.select(F.col("host").alias(of), F.col("keys").alias(keys))
+    own = pages[f"`{host}`"].eqNullSafe(found[of])
     if small:
-        joined = pages.join(F.broadcast(found), pages[host].eqNullSafe(found["_host"]), "left")
+        joined = pages.join(F.broadcast(found), own, "left")
     else:
-        salted = found.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS)))))
-        dealt = pages.withColumn("_at", F.pmod(F.xxhash64(text), F.lit(SALTS)))
-        joined = dealt.join(
-            salted, dealt[host].eqNullSafe(salted["_host"]) & (F.col("_at") == F.col("_salt")), "left"
-        ).drop("_at", "_salt")
-    kept = F.when(F.col("_keys").isNull(), F.col(text)).otherwise(
-        F.array_join(F.filter(_lines(text), lambda v: ~F.array_contains("_keys", _key(v))), "\n")
-    )
-    n = F.when(F.col(text).isNull(), 0).otherwise(F.size(_lines(text))).cast("bigint")
-    left = F.when(F.col("_keys").isNull(), n).otherwise(
-        F.coalesce(F.size(F.filter(_lines(text), lambda v: ~F.array_contains("_keys", _key(v)))), F.lit(0))
-    )
-    out = joined.withColumns({"n_lines": n, "n_dropped": (n - F.when(F.col(text).isNull(), 0).otherwise(left)).cast("bigint"), text: kept})
-    return out.drop("_host", "_keys")
+        salted = found.withColumn(salt, F.explode(F.array(*map(F.lit, range(SALTS)))))
+        joined = pages.join(salted, own & (F.pmod(F.xxhash64(pages[f"`{text}`"]), F.lit(SALTS)) == F.col(salt)), "left").drop(salt)
+    lines = _lines(f"`{text}`")
+    kept = F.filter(lines, lambda v: ~F.array_contains(keys, _key(v)))
+    n = F.coalesce(F.when(F.col(f"`{text}`").isNotNull(), F.size(lines)), F.lit(0))
+    left = F.when(F.col(keys).isNull() | F.col(f"`{text}`").isNull(), n).otherwise(F.size(kept))
+    cut = F.when(F.col(keys).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumns({"n_lines": n.cast("bigint"), "n_dropped": (n - left).cast("bigint"), text: cut}).drop(of, keys)
 
 
 def drop_passages(pages: DataFrame, text: str = "text", min_words: int = PASSAGE_WORDS, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with text without passages, and the added column n_dropped."""
-    long = F.filter(F.array_distinct(_lines("_text")), lambda v: F.size(F.split(F.trim(v), r"\s+")) > min_words)
-    lines = pages.select(_key(F.col(text)).alias("_page"), F.col(text).alias("_text")).select(
-        "_page", F.explode(F.transform(long, _key)).alias("_key")
-    )
+    """pages with text without passages, and the column n_dropped, which replaces any of that name."""
+    pages = pages.drop("n_dropped")
+    page, keys = _free(pages, "page_key", "line_keys")
+    own = F.col(f"`{text}`")
+    long = F.filter(F.array_distinct(_lines("text")), lambda v: F.size(F.split(F.trim(v), r"\s+")) > min_words)
+    lines = pages.select(_key(own).alias("page"), own.alias("text")).select("page", F.explode(F.transform(long, _key)).alias("key"))
     lines = materialize(lines, "long_lines")
-    often = materialize(lines.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= min_pages).select("_key"), "passages")
-    found = lines.join(often, "_key").groupBy("_page").agg(F.collect_set("_key").alias("_keys"))
-    joined = pages.withColumn("_page", _key(F.col(text))).join(materialize(found, "passage_pages"), "_page", "left")
-    kept = F.filter(_lines(text), lambda v: ~F.array_contains("_keys", _key(v)))
-    n = F.when(F.col("_keys").isNull(), 0).otherwise(F.size(_lines(text)) - F.size(kept)).cast("bigint")
-    cut = F.when(F.col("_keys").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns({"n_dropped": n, text: cut}).drop("_page", "_keys")
+    often = materialize(lines.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") >= min_pages).select("key"), "passages")
+    found = lines.join(often, "key").groupBy("page").agg(F.collect_set("key").alias("keys"))
+    found = materialize(found.select(F.col("page").alias(page), F.col("keys").alias(keys)), "passage_pages")
+    joined = pages.withColumn(page, _key(own)).join(found, page, "left")
+    kept = F.filter(_lines(f"`{text}`"), lambda v: ~F.array_contains(keys, _key(v)))
+    n = F.when(F.col(keys).isNull(), 0).otherwise(F.size(_lines(f"`{text}`")) - F.size(kept)).cast("bigint")
+    cut = F.when(F.col(keys).isNull(), own).otherwise(F.array_join(kept, "\n"))
+    return joined.withColumns({"n_dropped": n, text: cut}).drop(page, keys)

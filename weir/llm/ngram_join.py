@@ -23,7 +23,8 @@ Result: a row a document: doc_id, class_id (least doc_id with the same shingle s
 
 Nulls: a null text counts as empty; texts without words form one class. Documents with null
 doc_id take part and are reported with null doc_id. Repeated rows are copies of each other. An
-empty table gives an empty result. Columns other than doc_id and text are ignored.
+empty table gives an empty result. A text of any length is one row's work. Columns other than doc_id and text are ignored by
+ngram_join; one_of_each returns all columns, whatever their names, of one row of each group.
 """
 
 from __future__ import annotations
@@ -35,13 +36,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weir.llm.shared import materialize, scratch, settle, small
+from weir.llm.shared import bounded_batches, materialize, scratch, settle, small
 from weir.session import ship
 
 THRESHOLD, SHINGLE = 0.8, 5
 N_HASHES, BAND, STEP, TOLERANCE = 200, 5, 40, 1e-9
-#: A block's weight at most: texts, and shingles in all.
-BLOCK_ROWS, BLOCK_SHINGLES = 150, 2_000_000
+#: Texts of a block: BLOCK_ROWS, so that small groups are spread over SPREAD blocks first, then up to MOST_ROWS; shingles in all, at most.
+BLOCK_ROWS, SPREAD, MOST_ROWS, BLOCK_SHINGLES = 150, 12, 1500, 2_000_000
 BATCH_CHARS = 2_000_000
 _WORD = re.compile(r"\w+")
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -190,8 +191,14 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
+def numbered(docs: DataFrame) -> DataFrame:
+    """doc_id long, text string, and the other columns of docs by place, so that no name clashes."""
+    own = [F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text")]
+    return docs.select(*own, *(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text")))
+
+
 def signatures(docs: DataFrame) -> DataFrame:
-    """docs (doc_id, text) with row (a number for each row), set_hash, n and bands (empty without words)."""
+    """docs (doc_id, text, others) with row (a number for each row), set_hash, n and bands (empty without words)."""
 
     def run(batches):
         import xxhash
@@ -223,22 +230,24 @@ def signatures(docs: DataFrame) -> DataFrame:
                     pa.array(bands, pa.list_(pa.int64())),
                 ]
                 part = batch.slice(at, len(sets))
-                yield pa.RecordBatch.from_arrays([*part.columns, *made], ["doc_id", "text", "row", "set_hash", "n", "bands"])
+                yield pa.RecordBatch.from_arrays([*part.columns, *made], [*names, "row", "set_hash", "n", "bands"])
                 row, at, size = row + len(sets), i + 1, 0
 
-    return docs.mapInArrow(run, "doc_id long, text string, row long, set_hash binary, n long, bands array<long>")
+    names, fields = docs.columns, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{fields}, row long, set_hash binary, n long, bands array<long>")
 
 
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The result is written before what it was made from is deleted."""
     ship(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession):
-        return materialize(_joined(docs, threshold), "joined", keep=True)
+        signed = materialize(signatures(numbered(docs.select("doc_id", "text"))), "signed")
+        return materialize(_joined(signed, threshold).drop("row", "keeper"), "joined", keep=True)
 
 
-def _joined(docs: DataFrame, threshold: float) -> DataFrame:
-    own = docs.select(F.col("doc_id").cast("bigint"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    signed = materialize(signatures(own), "signed")
+def _joined(signed: DataFrame, threshold: float) -> DataFrame:
+    """The result for each row of signatures(), with row, and keeper: the row of the group's least doc_id."""
     # A class is led by the row of its least doc_id; null ids come last.
     lead = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "row")).alias("lead")
     classes = signed.groupBy("set_hash").agg(
@@ -252,12 +261,16 @@ def _joined(docs: DataFrame, threshold: float) -> DataFrame:
     linked = _links(signed, classes, materialize(components(edges), "components"), threshold)
     counts = linked.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"), F.sum("docs").alias("d"))
     roots = materialize(components(linked.where("a <> b").select("a", "b")), "roots")
-    led = roots.join(classes.select("node", "class_id"), "node").groupBy("root").agg(F.min("class_id").alias("group_id"))
-    led = materialize(led, "led")
-    groups = roots.join(led, "root").select("node", "group_id")
+    # A class's node is its row of least doc_id, so the least class's node is the row that stands for the group.
+    least = F.min(F.struct(F.coalesce("class_id", F.lit(2**63 - 1)).alias("d"), F.col("node").alias("keeper"))).alias("least")
+    led = roots.join(classes.select("node", "class_id"), "node").groupBy("root").agg(least, F.min("class_id").alias("group_id"))
+    led = materialize(led.select("root", "group_id", "least.keeper"), "led")
+    groups = roots.join(led, "root").select("node", "group_id", "keeper")
     info = classes.select("set_hash", "node", "class_id", "n_copies").join(counts, "node", "left").join(groups, "node", "left")
-    info = materialize(info.drop("node"), "info")
-    return signed.select("doc_id", "set_hash").join(info, "set_hash").select(
+    info = materialize(info.withColumn("keeper", F.coalesce("keeper", "node")).drop("node"), "info")
+    return signed.select("doc_id", "row", "set_hash").join(info, "set_hash").select(
+        "row",
+        "keeper",
         "doc_id",
         "class_id",
         "n_copies",
@@ -271,7 +284,7 @@ def _links(signed: DataFrame, classes: DataFrame, grouped: DataFrame, threshold:
     """Verified links: rows (a, b) with a <> b to join groups, and rows (a, a, links, docs) to be summed for a class."""
     sized = materialize(grouped.join(classes.select("node", "n", "n_copies"), "node"), "sized")
     weight = sized.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
-    parts = F.ceil(F.greatest(F.col("k") / BLOCK_ROWS, F.col("w") / BLOCK_SHINGLES)).cast("int")
+    parts = F.ceil(F.greatest(F.least(F.col("k") / BLOCK_ROWS, F.lit(SPREAD)), F.col("k") / MOST_ROWS, F.col("w") / BLOCK_SHINGLES)).cast("int")
     weight = materialize(weight.select("root", parts.alias("parts")), "weight")
     members = sized.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
     members = materialize(members.select("node", "root", "parts", "block", "n_copies"), "members")
@@ -281,12 +294,10 @@ def _links(signed: DataFrame, classes: DataFrame, grouped: DataFrame, threshold:
     def shingled(batches):
         settle("ngrams", _HASHES.clear)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for at in range(0, len(texts), 200):
-                sets = shingle_sets(texts[at : at + 200])
+            for part in small([batch], 0):
+                sets = shingle_sets([x or "" for x in part.column(0).to_pylist()])
                 offsets = np.cumsum([0] + [len(s) for s in sets]).astype(np.int32)
                 held = pa.ListArray.from_arrays(offsets, np.concatenate(sets).view(np.int64))
-                part = batch.slice(at, 200)
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], held], [*batch.schema.names[1:], "set"])
 
     fields = "node long, root long, parts int, block int, n_copies long, set array<long>"
@@ -341,9 +352,12 @@ def _links(signed: DataFrame, classes: DataFrame, grouped: DataFrame, threshold:
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without those that another document of their group leads: the least doc_id of each group stays.
-
-    Of rows with equal doc_id that leads its group, all stay; rows with null doc_id stay if they lead.
-    """
-    found = ngram_join(docs, threshold).where("doc_id is not null and doc_id <> group_id").select("doc_id").distinct()
-    return docs.join(materialize(found, "dropped"), "doc_id", "left_anti")
+    """One row of each group: one of least doc_id (null last), whatever rows share its doc_id or text; all columns of docs."""
+    ship(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
+    with scratch(docs.sparkSession):
+        signed = materialize(signatures(numbered(docs)), "signed", keep=True)
+        dropped = materialize(_joined(signed, threshold).where("row <> keeper").select("row"), "dropped", keep=True)
+    names = {f.name: f.name if f.name in ("doc_id", "text") else f"c{i}" for i, f in enumerate(docs.schema)}
+    columns = [F.col(names[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema]
+    return signed.join(dropped, "row", "left_anti").select(*columns)

@@ -34,8 +34,8 @@ from weir.llm.shared import settle, small
 from weir.session import ship
 
 ALPHA = 1.0
-#: Characters handled at once, and chunks whose lattices are kept.
-BATCH_CHARS, KEPT = 500_000, 300_000
+#: Characters handled at once, of chunks whose lattices are built at once, and chunks whose lattices are kept.
+BATCH_CHARS, BUILD_CHARS, KEPT = 250_000, 50_000, 150_000
 MARK = "▁"
 POINTS = ".,;:!?()|\n\"'-"
 _VOCABULARIES: dict[str, "Vocabulary"] = {}
@@ -209,7 +209,7 @@ class Lattices:
         for k, c in enumerate(missing):
             held.append(c)
             size += len(c)
-            if size > 200_000 or k + 1 == len(missing):
+            if size > BUILD_CHARS or k + 1 == len(missing):
                 end.update(zip(held, self.build(held).tolist()))
                 held, size = [], 0
         out = np.fromiter(map(end.__getitem__, chunks), np.int32, len(chunks))
