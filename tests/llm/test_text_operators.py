@@ -292,6 +292,29 @@ def test_piece_sampling_round_trip_and_repeatability(spark, docs):
     assert piece_sampling.encode(docs([]), model).collect() == []
 
 
+def test_piece_sampling_goes_by_the_text_alone(monkeypatch):
+    own, texts = piece_sampling.Lattices(vocabulary("piece_bpe_32k.model"), 1.0), [None, *odd_texts(400, 11), "", "\na", "x\n", "\nb c. d"]
+    seeds = piece_sampling.mix(np.arange(len(texts), dtype=np.uint64))
+
+    def drawn(order):
+        ids, offsets = own.sample(piece_sampling.pa.array([texts[k] for k in order]), seeds[order])
+        return dict(zip(order, (x.tolist() for x in np.split(ids, offsets[1:-1]))))
+
+    whole = drawn([*range(len(texts))])
+    assert all(own.vocabulary.decode(v) == (texts[k] or "") for k, v in whole.items())
+    own.clear()
+    for size in (3, 40):  # segments end anywhere
+        monkeypatch.setattr(piece_sampling, "SEGMENT", size)
+        assert drawn([*range(len(texts))][::-1]) == whole
+
+
+def test_no_piece_holds_a_place_where_texts_are_cut():
+    own = piece_sampling.Vocabulary(vocabulary("piece_bpe_32k.model"))
+    for piece in own.weight:
+        spelt = np.frombuffer(piece.replace(piece_sampling.MARK, " ").encode(), np.uint8)
+        assert not own.cut(spelt, None).any(), piece
+
+
 def test_piece_sampling_draws_by_weight():
     own = piece_sampling.Lattices(vocabulary("piece_bpe_32k.model"), 1.0)
     pieces, s = own.vocabulary.weight, piece_sampling.MARK + "hello"
@@ -307,7 +330,8 @@ def test_piece_sampling_draws_by_weight():
 
     chance = {k: math.exp(w) for k, w in ways(0)}
     whole, n = sum(chance.values()), 20_000
-    got = Tally(tuple(x.tolist()) for x in own.sample(["hello"] * n, np.arange(n, dtype=np.uint64) * np.uint64(7919)))
+    ids, offsets = own.sample(piece_sampling.pa.array(["hello"] * n), np.arange(n, dtype=np.uint64) * np.uint64(7919))
+    got = Tally(tuple(x.tolist()) for x in np.split(ids, offsets[1:-1]))
     assert set(got) <= set(chance)
     for k, v in chance.items():
         assert got[k] / n == pytest.approx(v / whole, abs=0.015)

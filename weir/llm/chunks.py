@@ -1,26 +1,27 @@
-"""Exact cutting of UTF-8 text for byte-level BPE with the " ?letters" pre-tokenizer.
+"""Exact cutting of UTF-8 text into parts that recur, for tokenizers whose tokens never reach across some places.
 
-A token never reaches across some places: before a space or line end that follows a character other than white
-space, between a letter and punctuation, and after a single line end. A column of texts may be cut there, and the tokens of a
-text are those of its parts in order. Parts recur, so each distinct one of a segment is worked on once. Letters are the
+For byte-level BPE with the " ?letters" pre-tokenizer these places are: before a space or line end that follows a character
+other than white space, between a letter and punctuation, and after a single line end. A column of texts may be cut there, and the
+tokens of a text are those of its parts in order. Each distinct part of a segment is worked on once. Letters are the
 ASCII ones and U+00C0 to U+00FF; beside other characters fewer places are cut, which only makes parts longer.
 Texts that hold a special string are cut before spaces alone, so special strings must not hold white space.
 
-Cutting works on the bytes of an Arrow column, SEGMENT bytes at a time, whatever the length of a text.
+Cutting works on the bytes of an Arrow column, SEGMENT bytes at a time, whatever the length of a text. Where a text is cut
+depends on the text alone, not on the texts or segments around it.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes that are cut at once.
-SEGMENT = 2_000_000
+#: Bytes that are cut at once, and bytes before them that are looked at.
+SEGMENT, LOOK_BACK = 2_000_000, 4
 PRINT, LETTER, MARK, HARD = 1, 2, 4, 8  # printable ASCII but the space; ASCII letters; ASCII punctuation; the same but '
 
 
@@ -48,8 +49,8 @@ def _solid(x: np.ndarray, kind: np.ndarray) -> np.ndarray:
     return out
 
 
-def cut_places(x: np.ndarray, spaces: np.ndarray | None = None) -> np.ndarray:
-    """Whether the bytes may be cut before each of them; where spaces is set, only before spaces. The first is never set."""
+def cut_places(x: np.ndarray, opens: np.ndarray, spaces: np.ndarray | None = None) -> np.ndarray:
+    """Whether the bytes may be cut before each of them, opens marking where texts start; where spaces is set, only before spaces."""
     kind, out = _KIND[x], np.zeros(len(x), bool)
     solid = _solid(x, kind)
     out[1:] = solid[:-1] & (x[1:] == 32)
@@ -59,7 +60,7 @@ def cut_places(x: np.ndarray, spaces: np.ndarray | None = None) -> np.ndarray:
     first |= latin
     last[1:] |= latin[:-1]
     more = (solid[:-1] & (x[1:] == 10)) | (last[:-1] & ((kind[1:] & MARK) > 0)) | (((kind[:-1] & HARD) > 0) & first[1:])
-    more[1:] |= solid[:-2] & (x[1:-1] == 10) & (first[2:] | ((kind[2:] & PRINT) > 0))
+    more[1:] |= solid[:-2] & (x[1:-1] == 10) & ~opens[1:-1] & (first[2:] | ((kind[2:] & PRINT) > 0))
     if spaces is not None:
         more &= ~spaces[1:]
     out[1:] |= more
@@ -75,8 +76,11 @@ class Segment(NamedTuple):
     over: int
 
 
-def segments(column: pa.Array, special: list[str] = (), size: int | None = None) -> Iterator[Segment]:
-    """The column's parts (nulls as empty texts), some distinct ones at a time, in order."""
+def segments(column: pa.Array, special: list[str] = (), size: int | None = None, cut: Callable[..., np.ndarray] = cut_places) -> Iterator[Segment]:
+    """The column's parts (nulls as empty texts), some distinct ones at a time, in order.
+
+    cut(bytes, starts of texts, where only spaces count) says where to cut; it may look LOOK_BACK bytes back within a text, and one ahead.
+    """
     size = size or SEGMENT
     column = pc.fill_null(column.cast(pa.string()), "")
     n = len(column)
@@ -90,20 +94,19 @@ def segments(column: pa.Array, special: list[str] = (), size: int | None = None)
         whole |= pc.match_substring(column, s).to_numpy(zero_copy_only=False)
     at, reach = int(ends[0]), size
     while at < stop:
-        to = min(stop, at + reach)
-        lo, hi = np.searchsorted(ends, (at, to), side="right")  # texts lo - 1 to hi - 1 have bytes from `at` to `to`
-        spaces = None
+        back, to = max(int(ends[0]), at - LOOK_BACK), min(stop, at + reach)
+        lo, hi = np.searchsorted(ends, (back, to), side="right")  # texts lo - 1 to hi - 1 have bytes from `back` to `to`
+        opens, spaces = np.zeros(to - back, bool), None
+        own = starts[lo - 1 : hi] - back
+        opens[own[(own >= 0) & (own < to - back)]] = True
         if whole[lo - 1 : hi].any():
-            marks = np.zeros(to - at, bool)
+            spaces = np.zeros(to - back, bool)
             for k in np.flatnonzero(whole[lo - 1 : hi]) + lo - 1:
-                marks[max(0, int(ends[k]) - at) : max(0, int(ends[k + 1]) - at)] = True
-            spaces = marks
-        cut = cut_places(data[at:to], spaces)
-        opens = starts[lo - 1 : hi] - at
-        opens = opens[(opens > 0) & (opens < to - at)]
-        cut[opens] = True
-        cut[0] = True
-        places = np.flatnonzero(cut)
+                spaces[max(0, int(ends[k]) - back) : max(0, int(ends[k + 1]) - back)] = True
+        found = cut(data[back:to], opens, spaces) | opens
+        places = np.flatnonzero(found[at - back :])
+        if not len(places) or places[0]:
+            places = np.append(0, places)
         if to < stop:  # the last part may go on
             if len(places) == 1:
                 reach *= 2
@@ -111,9 +114,9 @@ def segments(column: pa.Array, special: list[str] = (), size: int | None = None)
             to, places = at + int(places[-1]), places[:-1]
         offsets = np.append(places, to - at).astype(np.int32)
         held = pa.Array.from_buffers(pa.binary(), len(places), [None, pa.py_buffer(offsets), pa.py_buffer(data[at:to])])
-        found = held.dictionary_encode()
+        coded = held.dictionary_encode()
         text = np.searchsorted(ends[:-1], places + at, side="right") - 1
-        yield Segment(found.dictionary.to_pylist(), found.indices.to_numpy(), text, int(np.searchsorted(ends[1:], to, side="right")))
+        yield Segment(coded.dictionary.to_pylist(), coded.indices.to_numpy(), text, int(np.searchsorted(ends[1:], to, side="right")))
         at, reach = to, size
     if stop == ends[0]:
         none = np.zeros(0, np.int64)

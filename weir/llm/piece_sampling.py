@@ -13,31 +13,31 @@ returns exactly the text.
 No piece holds a space mark after another character, and few or none hold a letter beside a
 punctuation mark, so the lattice falls apart between two characters that no piece holds side by
 side: the chunks between such places are drawn independently, which is the same distribution,
-and their filtered lattices are kept in a table of bounded size.
+and their filtered lattices are kept in a table of bounded size. A chunk's draws come from the seed and the chunk's number in its text.
 
 Nulls: a null text counts as empty and has no pieces; a null key seeds as the empty string.
-Repeated rows get equal pieces. An empty table gives an empty result. Other columns pass through;
-columns called ids, n_pieces or decoded are replaced.
+Repeated rows get equal pieces. An empty table gives an empty result. A text of any length is worked on in segments of
+bounded size. Other columns pass through; columns called ids or decoded are replaced.
 """
 
 from __future__ import annotations
 
 import math
-import re
 from array import array
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from weir.llm.shared import settle, small
+from weir.llm.chunks import segments
+from weir.llm.shared import bounded_batches, settle, small
 from weir.session import ship
 
 ALPHA = 1.0
-#: Characters handled at once, of chunks whose lattices are built at once, and chunks whose lattices are kept.
-BATCH_CHARS, BUILD_CHARS, KEPT = 250_000, 50_000, 150_000
+#: Bytes handled at once, of chunks whose lattices are built at once, chunks whose lattices are kept, and the longest one kept.
+SEGMENT, BUILD_BYTES, KEPT, LONGEST = 500_000, 60_000, 120_000, 48
 MARK = "▁"
-POINTS = ".,;:!?()|\n\"'-"
 _VOCABULARIES: dict[str, "Vocabulary"] = {}
 _LATTICES: dict[tuple[str, float], "Lattices"] = {}
 
@@ -61,26 +61,40 @@ class Vocabulary:
                 self.weight[piece] = (i, -math.log(2 - sp.get_score(i)))
         if any(MARK in p.lstrip(MARK) for p in self.weight):
             raise ValueError("a piece holds a space mark after another character")
-        self.cutter = self._cutter()
-
-    def _cutter(self) -> re.Pattern:
-        """Places between characters that no piece holds side by side: before spaces, and around POINTS beside letters."""
-        beside = {(x, y) for p in self.weight for x, y in zip(p, p[1:])}
-        ways = {}
-        for c in POINTS:
-            before = "".join(sorted(x for x, y in beside if y == c and re.match(r"[^\W\d_]", x)))
-            after = "".join(sorted(y for x, y in beside if x == c and re.match(r"[^\W\d_]", y)))
-            ways.setdefault(rf"(?<=[^\W\d_{re.escape(before)}])(?=[{{}}])", []).append(c)
-            ways.setdefault(rf"(?<=[{{}}])(?=[^\W\d_{re.escape(after)}])", []).append(c)
-        return re.compile("|".join(["(?<=[^ ])(?=[ ])", *(w.format(re.escape("".join(c))) for w, c in ways.items())]))
-
-    def cut(self, text: str) -> list[str]:
-        """The chunks of a leading space plus the text; none for an empty text."""
-        return self.cutter.split(" " + text) if text else []
+        self.spelt = pa.array(self.bytes_of, pa.binary())
+        self.between = self._between()
+
+    def _between(self) -> np.ndarray:
+        """bool[last byte, first byte]: whether a text may be cut between characters with these bytes.
+
+        It may between characters that no piece holds side by side, if the second is a space or either is ASCII and no letter or digit.
+        """
+        out, plain = np.zeros((256, 256), bool), [c for c in range(128) if not chr(c).isalnum()]
+        out[plain, :] = True
+        out[:, plain] = True
+        for p in self.weight:
+            spelt = [c.encode() if c != MARK else b" " for c in p]
+            for x, y in zip(spelt, spelt[1:]):
+                out[x[-1], y[0]] = False
+        out[:, 0x80:0xC0] = False  # within a character
+        out[:, 32] = True  # no piece holds a mark after another character
+        out[32, 32] = False
+        return out
+
+    def cut(self, x: np.ndarray, opens: np.ndarray, spaces: None = None) -> np.ndarray:
+        return np.append(False, self.between[x[:-1], x[1:]])
 
     def decode(self, ids: list[int]) -> str:
+        """The text of a list of ids."""
         return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")[1:]
 
+    def texts(self, ids: np.ndarray, offsets: np.ndarray) -> pa.Array:
+        """The texts whose ids lie between the offsets."""
+        spelt = self.spelt.take(pa.array(ids))
+        at = np.frombuffer(spelt.buffers()[1], np.int32)[: len(ids) + 1][offsets].tolist()
+        data = (spelt.buffers()[2] or pa.py_buffer(b"")).to_pybytes()
+        return pa.array([data[a + 1 : b].decode("utf-8", "replace") for a, b in zip(at, at[1:])], pa.string())
+
 
 class Trie:
     """Pieces by exact steps from state to state, looked up for many places at once."""
@@ -133,22 +147,23 @@ class Lattices:
         self.clear()
 
     def clear(self) -> None:
-        self.end: dict[str, int] = {}
+        self.end: dict[bytes, int] = {}
         self.key, self.piece, self.source = array("f"), array("i"), array("i")
         self.node_arc, self.nodes = array("i", [0, 0]), 1  # node 0 is every chunk's start
 
-    def build(self, chunks: list[str]) -> np.ndarray:
+    def build(self, chunks: list[bytes]) -> np.ndarray:
         """Filter the lattices of chunks, all at once; the end node of each."""
         # A mark in the text has no piece of its own. So it is spelt in bytes, as other characters without one.
-        spelt = [c.replace(" ", "\ud800").encode("utf-32-le", "surrogatepass") for c in chunks]
-        points = np.frombuffer(b"".join(spelt), "<u4").astype(np.int64)
+        joined = b"".join(chunks)
+        points = np.frombuffer(joined.decode().encode("utf-32-le"), "<u4").astype(np.int64)
         letters = self.trie.letter[points]
         letters[points == ord(MARK)] = -1
-        letters[points == 0xD800] = self.trie.letter[ord(MARK)]
+        letters[points == 32] = self.trie.letter[ord(MARK)]
         alone = np.zeros(len(points), bool)
         # Bytes of a character without a piece become letters of their own, each with one arc.
         known = (letters >= 0) & (self.trie.found[self._first(letters)] >= 0)
-        sizes = np.array([len(x) // 4 for x in spelt], np.int64)
+        begun = np.append(0, np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80))  # characters begun before each byte
+        sizes = np.diff(begun[np.cumsum([0, *map(len, chunks)])])
         owner = np.repeat(np.arange(len(chunks)), sizes)
         if not known.all():
             raw = [chr(p).encode() if not k else b"?" for p, k in zip(points.tolist(), known.tolist())]
@@ -200,33 +215,47 @@ class Lattices:
         k = np.minimum(np.searchsorted(self.trie.steps, letters), len(self.trie.steps) - 1)
         return np.where(self.trie.steps[k] == letters, self.trie.target[k], 0)
 
-    def ends(self, chunks: list[str]) -> np.ndarray:
-        if len(self.end) > KEPT or len(self.key) > 40 * KEPT:
+    def ends(self, chunks: list[bytes]) -> np.ndarray:
+        """The end node of each chunk; chunks are distinct."""
+        if len(self.end) + len(chunks) > KEPT or len(self.key) > 20 * KEPT:
             self.clear()
-        end = self.end
-        missing = [*{c for c in chunks if c not in end}]
+        out = [self.end.get(c) for c in chunks]
+        missing = [k for k, x in enumerate(out) if x is None]
         held, size = [], 0
-        for k, c in enumerate(missing):
-            held.append(c)
-            size += len(c)
-            if size > BUILD_CHARS or k + 1 == len(missing):
-                end.update(zip(held, self.build(held).tolist()))
+        for n, k in enumerate(missing, 1):
+            held.append(k)
+            size += len(chunks[k])
+            if size > BUILD_BYTES or n == len(missing):
+                for at, end in zip(held, self.build([chunks[k] for k in held]).tolist()):
+                    out[at] = end
+                    if len(chunks[at]) <= LONGEST:
+                        self.end[chunks[at]] = end
                 held, size = [], 0
-        out = np.fromiter(map(end.__getitem__, chunks), np.int32, len(chunks))
-        for c in missing:
-            if len(c) > 48:
-                del end[c]
-        return out
-
-    def sample(self, texts: list[str], seeds: np.ndarray) -> list[np.ndarray]:
-        """The sampled ids of each text."""
-        words = [self.vocabulary.cut(x) for x in texts]
-        sizes = np.array([len(w) for w in words], np.int64)
-        at = self.ends([c for w in words for c in w])
-        # Each chunk draws from its own stream: the text's seed and the chunk's place.
-        first = np.cumsum(sizes) - sizes
-        place = np.arange(len(at), dtype=np.uint64) - np.repeat(first, sizes).astype(np.uint64)
-        stream = mix(np.repeat(seeds, sizes) + place * np.uint64(0x9E3779B97F4A7C15))
+        return np.array(out, np.int32)
+
+    def sample(self, column: pa.Array, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, offsets): the sampled ids of all texts, and where those of each text start, with the end."""
+        totals, found, last, gone = np.zeros(len(column), np.int64), [], -1, 0
+        for words, place, text, _ in segments(column, size=SEGMENT, cut=self.vocabulary.cut):
+            if not len(text):
+                continue
+            opens = np.flatnonzero(np.append(text[0] != last, text[1:] != text[:-1]))  # the parts that start a text
+            first = np.flatnonzero(np.append(True, text[1:] != text[:-1]))
+            number = np.arange(len(text)) - np.repeat(first, np.diff(np.append(first, len(text))))
+            if text[0] == last:
+                number[text == last] += gone
+            gone, last = int(number[-1]) + 1, int(text[-1])
+            spaced, back = np.unique(place[opens], return_inverse=True)  # a text's first part has the leading space
+            place = place.copy()
+            place[opens] = len(words) + back
+            at = self.ends([*words, *(b" " + words[k] for k in spaced.tolist())])[place]
+            ids, counts = self.draw(at, mix(seeds[text] + number.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+            found.append(ids)
+            totals += np.bincount(text, counts, len(totals)).astype(np.int64)
+        return np.concatenate(found) if found else np.zeros(0, np.int32), np.append(0, np.cumsum(totals))
+
+    def draw(self, at: np.ndarray, stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, counts) of chunks whose lattices end at these nodes, each drawn from its own stream."""
         key, piece, source, arc = (
             np.frombuffer(x, t)
             for x, t in ((self.key, np.float32), (self.piece, np.int32), (self.source, np.int32), (self.node_arc, np.int32))
@@ -248,8 +277,7 @@ class Lattices:
         ids = np.empty(int(ends[-1]) if len(ends) else 0, np.int32)
         for s, (where, got) in enumerate(drawn):
             ids[ends[where] - 1 - s] = got
-        cuts = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(sizes)])]
-        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        return ids, counts
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -271,18 +299,6 @@ def vocabulary(path: str) -> Vocabulary:
     return _VOCABULARIES[path]
 
 
-def _groups(texts: list[str]):
-    """Slices of about BATCH_CHARS characters."""
-    start = size = 0
-    for i, x in enumerate(texts):
-        size += len(x)
-        if size >= BATCH_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
 def _fields(df: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
@@ -290,6 +306,7 @@ def _fields(df: DataFrame) -> str:
 def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text", seed: int = 0, alpha: float = ALPHA, decoded: bool = False) -> DataFrame:
     """docs with ids array<int>, a sampled segmentation of each text, and where asked for decoded, the text that they spell."""
     ship(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     docs = docs.drop("ids", *(["decoded"] if decoded else []))
 
     def run(batches):
@@ -299,30 +316,29 @@ def encode(docs: DataFrame, model: str, key: str = "doc_id", text: str = "text",
         own = lattices(model, alpha)
         for batch in small(batches, text):
             names = batch.schema.names
-            texts = [x or "" for x in batch.column(names.index(text)).to_pylist()]
             keys = batch.column(names.index(key)).to_pylist()
             seeds = np.array([xxhash.xxh64_intdigest("" if k is None else str(k), seed) for k in keys], np.uint64)
-            for a, b in _groups(texts):
-                got = own.sample(texts[a:b], seeds[a:b])
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in got])]).astype(np.int32)
-                ids = pa.ListArray.from_arrays(offsets, np.concatenate(got) if got else np.zeros(0, np.int32))
-                part = batch.slice(a, b - a)
-                back = [pa.array([own.vocabulary.decode(x.tolist()) for x in got], pa.string())] if decoded else []
-                yield pa.RecordBatch.from_arrays([*part.columns, ids, *back], [*names, "ids", *["decoded"][: len(back)]])
+            ids, offsets = own.sample(batch.column(names.index(text)), seeds)
+            made = [pa.ListArray.from_arrays(offsets.astype(np.int32), ids), *([own.vocabulary.texts(ids, offsets)] if decoded else [])]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*names, "ids", "decoded"][: len(names) + len(made)])
 
     return docs.mapInArrow(run, f"{_fields(docs)}, ids array<int>" + ", decoded string" * decoded)
 
 
 def decode(encoded: DataFrame, model: str, ids: str = "ids") -> DataFrame:
-    """encoded with decoded: the text that the ids spell."""
+    """encoded with decoded: the text that the ids spell, empty where they are null."""
     ship(encoded.sparkSession)
+    bounded_batches(encoded.sparkSession)
     encoded = encoded.drop("decoded")
 
     def run(batches):
         own = vocabulary(model)
         for batch in batches:
             names = batch.schema.names
-            texts = [own.decode(x.values.to_numpy().tolist() if x.is_valid else []) for x in batch.column(names.index(ids))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], [*names, "decoded"])
+            lists = batch.column(names.index(ids))
+            lists = pc.if_else(lists.is_valid(), lists, pa.scalar([], lists.type)) if lists.null_count else lists
+            offsets = np.append(0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))).astype(np.int64)
+            texts = own.texts(lists.flatten().to_numpy(), offsets)
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*names, "decoded"])
 
     return encoded.mapInArrow(run, f"{_fields(encoded)}, decoded string")
