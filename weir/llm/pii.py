@@ -2,30 +2,39 @@
 
 Kinds are email, ip, card and phone. The patterns give the base spans (leftmost, not
 overlapping within a kind; failing matches are dropped). The field labels tokens B/I per kind
-from word-shape features in a window around each digit, @ or bracketed "at": WINDOW characters
-either side, widened to white space; windows that meet are one. Text without those holds no
-personal data for it. It is trained by maximum likelihood on the small labelled table below
-and decoded by Viterbi in numpy, many windows at a time. A labelled span is added where it
-overlaps no base span and has the parts its kind needs.
+from word-shape features in a window around each digit, @, bracketed "at", or "at" with a "dot" or full stop soon after it: WINDOW
+characters either side, widened to white space; windows that meet are one. Text without those holds no
+personal data for it. It is trained by maximum likelihood on the labelled table below, whose rows are written out from templates
+with seeded names and numbers, and decoded by Viterbi in numpy, many windows at a time. A labelled span is added where it
+overlaps no base span and has the parts its kind needs (an email's "at" and "dot", four numbers up to 255, digits that pass Luhn,
+7 to 15 digits).
+
+A window of over MOST tokens is decoded in pieces of MOST tokens that share OVERLAP tokens; two pieces meet at the first shared
+token that both call no personal data, or in the middle if there is none. One of over STRETCH characters is first cut, at white space
+or else a mark, about every STRETCH characters. So a text of any length needs bounded memory.
 
 Nulls: a null text counts as empty and has no spans. Repeated rows are searched each. An
-empty table gives an empty result; other columns pass through.
+empty table gives an empty result; other columns pass through, those named like the results are replaced.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weir.llm.shared import bounded_batches, settle, small
 from weir.session import ship
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-WINDOW, BATCH = 60, 256
+WINDOW, BATCH, MOST, OVERLAP, STRETCH = 60, 256, 256, 64, 20_000
+SEED, COPIES = 7, 6
 
 # The base patterns.
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -33,61 +42,82 @@ _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9]+|@|[\[(]\s?at\s?[\])]", re.I)
+_TRIGGER = re.compile(r"[0-9]+|@|[\[({<]\s?at\s?[\])}>]|\bat\b(?=\s+[\w-]+(?:\s+[\[({<]?\s?dot\b|\.\w|\s\.\s\w))", re.I)
+_JOINTS = (re.compile(r"\s"), re.compile(r"\W"))
 _TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
 
-#: Labelled sentences: [kind text] marks a span.
-LABELLED = """\
-write to [email anna (at) example (dot) com] for details
-reach me under [email j.smith [at] mail [dot] example [dot] org] today
-contact [email bob.lee (at) host.example.net] please
-mail [email info (at) firm (dot) de] or call
-send it to [email maria55 (at) mail3 (dot) example (dot) com] soon
-she met him (at) noon in room 12 and left
-the price (at) closing was 33.20 per share
-my address is [email tom @ example.com] thanks
-write [email k.jones@ mail.example.org] now
-call [phone (555) 492-1092] now
-phone [phone 555-713-2240] after six
-tel [phone 030 1234 5678] or fax
-my number is [phone (017) 555-7713] at home
-call us: [phone 0049 30 9012345] every day
-ring [phone 555.867.5309] and ask
-telephone [phone (212) 555 0147] for help
-mobile [phone 0171-5551234] preferred
-number [phone 001 555 222 8811] works
-card [card 4111.1111.1111.1111] expires soon
-pay with [card 5500/0000/0000/0004] please
-visa [card 4012_8888_8888_1881] on file
-card number [card 3782.8224.6310.005] was used
-host [ip 10 . 20 . 30 . 40] answered
-server [ip 192[.]168[.]1[.]17] was down
-from [ip 172(.)16(.)254(.)1] came traffic
-address [ip 97[.]51[.]17[.]173] is blocked
-the year 2019 was warm
-version 3.10.2 was released in 2021
-see pages 120-135 of volume 7
-it costs 1,299.00 euro or 1200
-on 2021-03-04 at 12:30:15 it began
-chapter 4, section 2.1.3 has it
-about 1 500 000 people live there
-token = 908038b7daaf91e730d2f64001c52934d43d
-order 7781-22 has 3 items
-score 3-2 after 90 minutes
-the room is 4.5 by 6 metres
-in 1998 and 2004 and 2012 they won
-population 12345 rose by 2 percent
-id 123456789 belongs to block 7
-from 10 to 20 of 300 rows
-section 12 (a) and (b) of 1990
-key 5d190bd7c06284de91015a36974748794293dd8a is old
-isbn 978 in 13 parts
-the ratio 16 to 9 in 1080 lines
-work is licensed under version 4.0
-released 12.05.2020 as build 4471
-bus 42 leaves at 7.15 and 8.45
-Licensed under the Apache License, Version 2.0
-under CC BY-NC 4.0 or later
+#: Spellings of each kind. n a name, h a host, t a top domain, o a number up to 255, c4 groups of a card, # a digit.
+SPELLINGS = {
+    "email": [
+        "n (at) h (dot) t", "n [at] h [dot] t", "n {at} h {dot} t", "n <at> h <dot> t", "n at h dot t", "n(at)h.t", "n[at]h.t", "n @ h.t",
+        "n @ h . t", "n@ h.t", "n (at) h.t", "n AT h DOT t", "n (at) h (dot) h (dot) t", "n at h.t", "n[at]h[dot]t", "n (@) h.t",
+    ],
+    "ip": ["o . o . o . o", "o[.]o[.]o[.]o", "o(.)o(.)o(.)o", "o dot o dot o dot o", "o [.] o [.] o [.] o", "o{.}o{.}o{.}o", "o (dot) o (dot) o (dot) o"],
+    "card": ["c4.c4.c4.c4", "c4/c4/c4/c4", "c4_c4_c4_c4", "c4 - c4 - c4 - c4", "c4:c4:c4:c4", "c4  c4  c4  c4", "c4.c6.c5", "c4 c6 c5", "c4-c6-c5", "c4 / c4 / c4 / c4"],
+    "phone": [
+        "(###) ###-####", "###-###-####", "###.###.####", "0## #### ####", "(0###) ######", "0###/#######", "00## ## #######", "(###) ### ####", "### ### ####",
+        "0###-#######", "1-###-###-####", "(0##) ###-####", "0### ### ###", "+## (0) ## / #### ####",
+    ],
+}
+#: Surroundings: S stands for the spelling.
+AROUND = {
+    "email": ["write to S for details", "reach me under S today", "mail S or call", "send it to S soon", "email: S", "my address is S, thanks", "W w w S w w", "w w S.", "contact S (office)", "S", "S w w", "w w S, w", "W w: S w", "w at S w", "reach S", "w w w S", "ask S or w", "contact S, w"],
+    "ip": ["host S answered", "server S was down", "from S came traffic", "address S is blocked", "w w ip S w", "W w S w w.", "ping S now", "the node at S w", "S", "w S", "S, w"],
+    "card": ["card S expires soon", "pay with S please", "visa S on file", "card number S was used", "W w w S w w", "charged to S.", "my card is S, w", "S", "w w S", "S w", "w: S (w)"],
+    "phone": ["call S now", "phone S after six", "tel S or fax", "my number is S at home", "call us: S every day", "telephone S for help", "mobile S preferred", "w w phone S w w.", "fax S w", "ring S and ask", "reach me at S w", "S", "W w: S", "S w w", "w w S, w", "w S (w)", "w | S | w"],
+}
+#: Text without personal data; words and digits are filled in as above.
+PLAIN = """\
+she met him (at) noon in room ## and left
+the price (at) closing was ##.## per share
+look at the dot com boom of ####
+w w at w. W w w w ## w
+w at h w the w dot w
+the year #### was warm
+version #.##.# was released in ####
+version #.#.## of w
+see pages ###-### of volume #
+pages ##-##, ##-## and ###
+it costs #,###.## euro or ####
+on ####-##-## at ##:##:## it began
+##.##.#### w w ##/##/####
+chapter #, section #.#.# has it
+about # ### ### people live there
+token = xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx
+W w token = "xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx" w
+order ####-## has # items
+score #-# after ## minutes
+the room is #.# by # metres
+in #### and #### and #### they won
+population ##### rose by # percent
+id ######### belongs to block #
+from ## to ## of ### rows
+section ## (a) and (b) of ####
+key xxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxxx is old
+isbn ###-#-##-######-# in ## parts
+the ratio ## to # in #### lines
+work is licensed under version #.#
+released ##.##.#### as build ####
+bus ## leaves at #.## and #.##
+Licensed under the Apache License, Version #.#
+under CC BY-NC #.# or later
+w w | #### | w | ## | w
+w, ##, ##, ##, ##, ##, ##, w
+### ### ### ### ### ###
+W w ################ w w
+w ############ w w ## w
+lat ##.####, long ##.####
+w (##) w [##] w {#}
+a sum of #.###.###,## w
+## % of w, #.# % of w
+[#] W w w. [##] W w w (####).
+## w / ## w / ## w
+W w ##. W w, ### w w. W
+w ###-## w ##-### w
+#### w ### ### w
+# - ## - # - ## w
+room ###.## on floor ##
+w w *** w %%% w ## ### w
 """.splitlines()
 
 
@@ -121,126 +151,186 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
+def _word(draw: random.Random, least: int = 2, most: int = 9) -> str:
+    """A word that can be spoken."""
+    out = ""
+    while len(out) < draw.randint(least, most):
+        out += draw.choice("bcdfghklmnprstvw") * (draw.random() < 0.8) + draw.choice("aeiou") + draw.choice(["", "", "n", "r", "s", "t"])
+    return out
+
+
+def _card(draw: random.Random, n: int) -> str:
+    """n digits that pass Luhn."""
+    body = str(draw.randint(3, 6)) + "".join(draw.choice("0123456789") for _ in range(n - 2))
+    return next(body + c for c in "0123456789" if _luhn(body + c))
+
+
+def spell(draw: random.Random, form: str) -> str:
+    """A spelling with its letters filled in."""
+    groups = [int(n) for n in re.findall(r"c(\d)", form)]
+    digits = iter(_card(draw, sum(groups)) if groups else "")
+
+    def fill(m: re.Match) -> str:
+        x = m[0]
+        if x[0] == "c":
+            return "".join(next(digits) for _ in range(int(x[1])))
+        if x == "#":
+            return draw.choice("0123456789")
+        if x == "o":
+            return str(draw.randint(1, 255))
+        if x == "t":
+            return draw.choice(["com", "org", "net", "de", "fr", "es", "io", "edu"])
+        if x == "h":
+            return _word(draw) + draw.choice(["", "", "", str(draw.randint(1, 9)), "-" + _word(draw, 2, 4)])
+        return draw.choice(["{a}", "{a}", "{a}.{b}", "{a}{d}", "{i}.{a}", "{a}.{d}", "{a}_{b}", "{a}-{b}"]).format(a=_word(draw), b=_word(draw), d=draw.randint(1, 99), i=draw.choice("abcjkm"))
+
+    return re.sub(r"c\d|#|\b[nhto]\b", fill, form)
+
+
+def plain(draw: random.Random, form: str) -> str:
+    """A row of text without personal data, filled in; w and W are words."""
+    def fill(m: re.Match) -> str:
+        x = m[0]
+        if x[0] == "#":
+            return "".join(draw.choice("123456789" if k == 0 else "0123456789") for k in range(len(x)))
+        if x[0] == "x":
+            return "".join(draw.choice("0123456789abcdef") for _ in x)
+        return _word(draw).capitalize() if x == "W" else _word(draw)
+
+    return re.sub(r"#+|\bx{9,}\b|\b[wWh]\b", fill, form)
+
+
+def labelled(seed: int = SEED, copies: int = COPIES, around: dict[str, list[str]] = AROUND, texts: list[str] = PLAIN) -> list[tuple[str, list[tuple[str, int, int]]]]:
+    """The table: (text, spans) rows, each spelling `copies` times in surroundings taken in turn, and each plain row as often."""
+    draw, out = random.Random(seed), []
+    for kind, forms in SPELLINGS.items():
+        for k, form in enumerate(forms * copies):
+            before, after = plain(draw, around[kind][k % len(around[kind])].replace("S", "\0")).split("\0")
+            span = spell(draw, form)
+            out.append((before + span + after, [(kind, len(before), len(before + span))]))
+    return out + [(plain(draw, t), []) for t in texts * copies]
+
+
 def shape(token: str) -> str:
-    """Character classes, runs shortened: digits keep their number up to six."""
+    """Character classes, runs shortened: digits keep their number up to seven, and whether a zero leads."""
     if token[0].isdigit():
-        return "d" * min(len(token), 6)
+        return ("z" if token[0] == "0" else "d") * min(len(token), 7) + ("+" if len(token) > 12 else "")
     if token.isalpha():
         return ("X" if token[0].isupper() else "x") + ("X" if token[1:].isupper() else "x" if len(token) > 1 else "")
     return token
 
 
-CUES = frozenset("at dot com org net de tel phone call fax mobile ring telephone number mail email write contact card visa pay ip host server address token key version page pages year".split())
-
-
-def features(tokens: list[tuple[str, bool]]) -> list[list[str]]:
-    """Feature names of each (token, white space before it)."""
-    shapes = [shape(t) for t, _ in tokens]
-    lower = [t.lower() for t, _ in tokens]
-    n, out = len(tokens), []
-    for i in range(n):
-        row = ["1"]
-        for d in (-3, -2, -1, 0, 1, 2, 3):
-            if 0 <= i + d < n:
-                row.append(f"s{d}{shapes[i + d]}")
-                if lower[i + d] in CUES:
-                    row.append(f"w{d}{lower[i + d]}")
-        row.append(f"g{int(tokens[i][1])}{shapes[i]}")
-        if i + 1 < n:
-            row.append(f"h{int(tokens[i + 1][1])}{shapes[i]}{shapes[i + 1]}")
-        if i:
-            row.append(f"p{int(tokens[i][1])}{shapes[i - 1]}{shapes[i]}")
-        out.append(row)
-    return out
+CUES = "at dot com org net de fr es io edu tel phone call fax mobile ring telephone number mail email write contact reach send card visa pay charged ip host server node ping address token key isbn version page pages section chapter build order year".split()
+NEAR = range(-3, 4)
 
 
 def tokenize(text: str) -> list[tuple[str, int, int]]:
     return [(m[0], *m.span()) for m in _TOKEN.finditer(text)]
 
 
-def spaced(tokens: list[tuple[str, int, int]]) -> list[tuple[str, bool]]:
-    return [(t, i == 0 or tokens[i - 1][2] < a) for i, (t, a, _) in enumerate(tokens)]
-
-
-def parse_labelled(row: str) -> tuple[str, list[tuple[str, int, int]]]:
-    """The text and spans of a row of LABELLED; a span ends at the last ] before the next mark or the end."""
-    text, spans, at = "", [], 0
-    for m in re.finditer(r"\[(email|ip|card|phone) ", row):
-        text += row[at : m.start()]
-        depth, end = 1, m.end()
-        while depth:
-            depth += {"[": 1, "]": -1}.get(row[end], 0)
-            end += 1
-        spans.append((m[1], len(text), len(text) + end - 1 - m.end()))
-        text += row[m.end() : end - 1]
-        at = end
-    return text + row[at:], spans
+class Coded:
+    """Windows' tokens as numbers: shape, cue, and whether white space stands before; PAD tokens apart from each other."""
+
+    def __init__(self, shapes: dict[str, int], windows: list[list[tuple[str, int, int]]]):
+        pad = len(NEAR) // 2
+        self.sizes = np.array([len(w) for w in windows], np.int64)
+        self.starts = pad + np.cumsum(self.sizes + pad) - self.sizes - pad
+        n = int((self.sizes + pad).sum()) + pad
+        self.shape, self.cue, self.gap = np.zeros(n, np.int32), np.zeros(n, np.int32), np.zeros(n, np.int8)
+        cues = {c: k for k, c in enumerate(CUES, 1)}
+        for at, w in zip(self.starts.tolist(), windows):
+            self.shape[at : at + len(w)] = [shapes.get(shape(t), 1) for t, _, _ in w]
+            self.cue[at : at + len(w)] = [cues.get(t.lower(), 0) for t, _, _ in w]
+            if w:
+                self.gap[at : at + len(w)] = [1, *(a > b for (_, a, _), (_, _, b) in zip(w[1:], w))]
+        self.at = np.repeat(self.starts - np.cumsum(self.sizes) + self.sizes, self.sizes) + np.arange(int(self.sizes.sum()))
+
+    def features(self, n_shapes: int) -> list[np.ndarray]:
+        """For each template the feature of every token, as a place in that template's table."""
+        at, s = self.at, self.shape
+        gap, after = self.gap[at], self.gap[at + 1]
+        out = [s[at + d] for d in NEAR] + [self.cue[at + d] for d in NEAR]
+        out.append(gap * n_shapes + s[at])
+        out.append((after * n_shapes + s[at]) * n_shapes + s[at + 1])
+        out.append((gap * n_shapes + s[at - 1]) * n_shapes + s[at])
+        return out
 
 
 class Field:
-    """Weights of features and transitions between labels."""
+    """Weights of features and transitions between labels; shape 0 is a window's edge, 1 one that training has not seen."""
+
+    def __init__(self, shapes: dict[str, int], tables: list[np.ndarray], moves: np.ndarray):
+        self.shapes, self.tables, self.moves = shapes, tables, moves
 
-    def __init__(self, index: dict[str, int], weights: np.ndarray, moves: np.ndarray):
-        self.index, self.weights, self.moves = index, weights, moves
+    def scores(self, coded: Coded) -> np.ndarray:
+        """Each token's score of each label."""
+        out = np.zeros((len(coded.at), len(LABELS)))
+        for table, f in zip(self.tables, coded.features(len(self.shapes) + 2)):
+            out += table[f]
+        return out
 
     @classmethod
-    def fit(cls, table: list[str] = LABELLED, epochs: int = 60, l2: float = 0.02, rate: float = 0.3) -> "Field":
+    def fit(cls, table: list[tuple[str, list]], epochs: int = 50, l2: float = 0.02, rate: float = 0.3) -> "Field":
         """Maximum likelihood by full-batch adaptive gradient steps."""
-        rows, index = [], {}
-        for line in table:
-            text, spans = parse_labelled(line)
-            tokens = tokenize(text)
-            gold = []
-            for _, a, b in tokens:
-                own = next(((k, s) for k, s, e in spans if s <= a and b <= e), None)
-                gold.append(0 if own is None else LABELS.index(("B-" if a == own[1] else "I-") + own[0]))
-            ids = [[index.setdefault(f, len(index)) for f in row] for row in features(spaced(tokens))]
-            rows.append((ids, gold))
-        k, allowed = len(LABELS), legal()
-        w, moves = np.zeros((len(index) + 1, k)), np.zeros((k, k))
-        gw2, gm2 = np.full_like(w, 1e-6), np.full_like(moves, 1e-6)
+        windows = [tokenize(text) for text, _ in table]
+        shapes = {x: k for k, x in enumerate(sorted({shape(t) for w in windows for t, _, _ in w}), 2)}
+        gold = np.zeros((len(table), max(map(len, windows))), np.int64)
+        for r, ((_, spans), w) in enumerate(zip(table, windows)):
+            for kind, a, b in spans:
+                for j, (_, x, y) in enumerate(w):
+                    if a <= x and y <= b:
+                        gold[r, j] = LABELS.index(("B-" if x == a else "I-") + kind)
+        k, n, allowed = len(LABELS), len(shapes) + 2, legal()
+        coded = Coded(shapes, windows)
+        features = coded.features(n)
+        tables = [np.zeros((size, k)) for size in [n] * len(NEAR) + [len(CUES) + 1] * len(NEAR) + [2 * n, 2 * n * n, 2 * n * n]]
+        moves = np.zeros((k, k))
+        own = cls(shapes, tables, moves)
+        squares = [np.full_like(x, 1e-6) for x in (*tables, moves)]
+        row = np.repeat(np.arange(len(table)), coded.sizes)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(coded.sizes) - coded.sizes, coded.sizes)
+        on = np.arange(gold.shape[1]) < coded.sizes[:, None]
         for _ in range(epochs):
-            gw, gm = -l2 * w, -l2 * moves
-            for ids, gold in rows:
-                n = len(gold)
-                e = np.array([w[i].sum(0) for i in ids])
-                t = moves + allowed
-                a, b = np.empty((n, k)), np.zeros((n, k))
-                a[0] = e[0] + allowed[0]
-                for i in range(1, n):
-                    a[i] = e[i] + np.logaddexp.reduce(a[i - 1][:, None] + t, axis=0)
-                for i in range(n - 2, -1, -1):
-                    b[i] = np.logaddexp.reduce(t + (e[i + 1] + b[i + 1])[None, :], axis=1)
-                z = np.logaddexp.reduce(a[-1])
-                p = np.exp(a + b - z)
-                p[np.arange(n), gold] -= 1
-                for i in range(n):
-                    gw[ids[i]] -= p[i]
-                    if i:
-                        gm -= np.exp(a[i - 1][:, None] + t + (e[i] + b[i])[None, :] - z)
-                        gm[gold[i - 1], gold[i]] += 1
-            gw2 += gw * gw
-            gm2 += gm * gm
-            w += rate * gw / np.sqrt(gw2)
-            moves += rate * gm / np.sqrt(gm2)
-        w[-1] = 0
-        return cls(index, w, moves + allowed)
-
-    def decode(self, windows: list[list[tuple[str, bool]]]) -> list[np.ndarray]:
+            e = np.zeros((*gold.shape, k))
+            e[row, place] = own.scores(coded)
+            t = moves + allowed
+            a, b = e.copy(), np.zeros_like(e)
+            a[:, 0] += allowed[0]
+            for j in range(1, e.shape[1]):
+                a[:, j] += np.logaddexp.reduce(a[:, j - 1, :, None] + t, axis=1)
+            z = np.logaddexp.reduce(a[np.arange(len(a)), coded.sizes - 1], axis=1)
+            for j in range(e.shape[1] - 2, -1, -1):
+                b[:, j] = np.where(on[:, j + 1, None], np.logaddexp.reduce(t + (e[:, j + 1] + b[:, j + 1])[:, None, :], axis=2), 0.0)
+            p = np.exp(a + b - z[:, None, None])
+            p[np.arange(len(p))[:, None], np.arange(p.shape[1]), gold] -= 1
+            off = -p[row, place]
+            change = [np.stack([np.bincount(f, off[:, c], len(x)) for c in range(k)], axis=1) - l2 * x for f, x in zip(features, tables)]
+            gm = -l2 * moves
+            for j in range(1, e.shape[1]):
+                r = np.flatnonzero(on[:, j])
+                gm -= np.exp(a[r, j - 1, :, None] + t + (e[r, j] + b[r, j])[:, None, :] - z[r, None, None]).sum(0)
+                np.add.at(gm, (gold[r, j - 1], gold[r, j]), 1.0)
+            for x, g, s in zip((*tables, moves), (*change, gm), squares):
+                s += g * g
+                x += rate * g / np.sqrt(s)
+        for x in tables[: len(NEAR)]:
+            x[1] = 0
+        return cls(shapes, tables, moves + allowed)
+
+    def decode(self, windows: list[list[tuple[str, int, int]]]) -> list[np.ndarray]:
         """The likeliest labels of each window's tokens."""
-        out: list[np.ndarray] = [np.zeros(0, int)] * len(windows)
+        out: list[np.ndarray] = [np.zeros(0, np.int8)] * len(windows)
         by_size = sorted((i for i, w in enumerate(windows) if w), key=lambda i: len(windows[i]))
-        none = len(self.index)
-        for at in range(0, len(by_size), BATCH):
-            group = by_size[at : at + BATCH]
-            sizes = np.array([len(windows[i]) for i in group])
-            n, k = int(sizes[-1]), len(LABELS)
+        at = 0
+        while at < len(by_size):  # groups of bounded size in all
+            most = max(1, min(BATCH, BATCH * MOST // len(windows[by_size[min(at + BATCH, len(by_size)) - 1]])))
+            group = by_size[at : at + most]
+            at += most
+            coded = Coded(self.shapes, [windows[i] for i in group])
+            sizes, n, k = coded.sizes, int(coded.sizes[-1]), len(LABELS)
             e = np.zeros((len(group), n, k))
-            for r, i in enumerate(group):
-                ids = [[self.index.get(f, none) for f in row] for row in features(windows[i])]
-                flat = np.fromiter((x for row in ids for x in row), np.int64)
-                cuts = np.cumsum([0] + [len(row) for row in ids[:-1]])
-                e[r, : len(ids)] = np.add.reduceat(self.weights[flat], cuts, axis=0)
+            row = np.repeat(np.arange(len(group)), sizes)
+            e[row, np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)] = self.scores(coded)
             best = e[:, 0] + legal()[0]
             back, final = np.zeros((len(group), n, k), np.int8), best.copy()
             for j in range(1, n):
@@ -248,12 +338,31 @@ class Field:
                 back[:, j] = ways.argmax(1)
                 best = ways.max(1) + e[:, j]
                 final[sizes > j] = best[sizes > j]
+            label, last = np.zeros((len(group), n), np.int8), final.argmax(1)
+            for j in range(n - 1, -1, -1):
+                ends = sizes - 1 == j
+                now = np.where(ends, last, 0) if j == n - 1 else np.where(ends, last, back[np.arange(len(group)), j + 1, label[:, j + 1]])
+                label[:, j] = np.where(sizes > j, now, 0)
             for r, i in enumerate(group):
-                label = np.empty(sizes[r], int)
-                label[-1] = final[r].argmax()
-                for j in range(sizes[r] - 1, 0, -1):
-                    label[j - 1] = back[r, j, label[j]]
-                out[i] = label
+                out[i] = label[r, : sizes[r]]
+        return out
+
+    def labels(self, windows: list[list[tuple[str, int, int]]]) -> list[np.ndarray]:
+        """decode(), long windows in pieces that overlap."""
+        pieces, of = [], []
+        for w in windows:
+            cuts = range(0, max(1, len(w) - OVERLAP), MOST - OVERLAP)
+            of.append((len(pieces), len(cuts)))
+            pieces += [w[a : a + MOST] for a in cuts]
+        found, out = self.decode(pieces), []
+        for first, n in of:
+            label = found[first]
+            for more in found[first + 1 : first + n]:
+                shared = len(label) - OVERLAP
+                clear = np.flatnonzero((label[shared:] == 0) & (more[:OVERLAP] == 0))
+                joint = int(clear[0]) if len(clear) else OVERLAP // 2
+                label = np.concatenate([label[: shared + joint], more[joint:]])
+            out.append(label)
         return out
 
 
@@ -292,7 +401,7 @@ def complete(kind: str, text: str) -> bool:
     """Whether a labelled span has the parts its kind needs."""
     digits = re.findall("[0-9]", text)
     if kind == "email":
-        return bool(re.search(r"@|\bat\b", text, re.I)) and bool(re.search(r"\.|\bdot\b", text, re.I)) and bool(re.match(r"\w", text))
+        return bool(re.search(r"@|\bat\b", text, re.I)) and bool(re.search(r"\.|\bdot\b", text, re.I)) and bool(re.match(r"(?!(?:at|dot)\b)\w", text, re.I))
     if kind == "ip":
         parts = re.findall("[0-9]+", text)
         return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
@@ -303,27 +412,39 @@ def complete(kind: str, text: str) -> bool:
 
 def find(texts: list[str], field: Field) -> list[tuple[list, list]]:
     """(base spans, all spans) of each text."""
-    base, jobs = [], []
-    for i, text in enumerate(texts):
-        found = base_spans(text) if _TRIGGER.search(text) else []
-        base.append(found)
-        for a, b in windows_of(text):
-            tokens = [(t, a + x, a + y) for t, x, y in tokenize(text[a:b])]
-            jobs.append((i, tokens))
-    added: list[list] = [[] for _ in texts]
-    for (i, tokens), labels in zip(jobs, field.decode([spaced(t) for _, t in jobs])):
-        j = 0
-        while j < len(tokens):
-            if labels[j] and LABELS[labels[j]][0] == "B":
+    base, added = [base_spans(text) if _TRIGGER.search(text) else [] for text in texts], [[] for _ in texts]
+    jobs, size = [], 0
+
+    def work() -> None:
+        for (i, tokens), labels in zip(jobs, field.labels([t for _, t in jobs])):
+            for j in np.flatnonzero(labels % 2 == 1).tolist():  # B labels are odd
                 kind, e = LABELS[labels[j]][2:], j + 1
-                while e < len(tokens) and LABELS[labels[e]] == f"I-{kind}":
+                while e < len(tokens) and labels[e] == labels[j] + 1:
                     e += 1
+                if kind != "email":  # marks at either end are not of the number
+                    while j < e - 1 and tokens[j][0][0] not in "0123456789(+":
+                        j += 1
+                    while e - 1 > j and not tokens[e - 1][0][0].isdigit():
+                        e -= 1
                 start, end = tokens[j][1], tokens[e - 1][2]
                 if complete(kind, texts[i][start:end]) and not any(a < end and start < b for _, a, b in base[i]):
                     added[i].append((kind, start, end))
-                j = e
-            else:
-                j += 1
+        jobs.clear()
+
+    for i, text in enumerate(texts):
+        for a, b in windows_of(text):
+            while a < b:  # a window of any length, some thousand tokens at a time
+                c = b
+                if b - a > STRETCH:
+                    found = next((m for p in _JOINTS if (m := p.search(text, a + STRETCH, min(b, a + STRETCH + 500)))), None)
+                    c = found.end() if found else a + STRETCH
+                jobs.append((i, [(t, a + x, a + y) for t, x, y in tokenize(text[a:c])]))
+                size += len(jobs[-1][1])
+                a = c
+                if size > BATCH * MOST:
+                    work()
+                    size = 0
+    work()
     rank = {k: n for n, k in enumerate(KINDS)}
     return [(b, sorted({*b, *a}, key=lambda s: (rank[s[0]], *s[1:]))) for b, a in zip(base, added)]
 
@@ -332,19 +453,28 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
+@cache
+def trained() -> Field:
+    return Field.fit(labelled())
+
+
 _FIELDS: dict[str, Field] = {}
 
 
 def find_pii(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs without text, with n_email, n_ip, n_card, n_phone, base_sha256 and spans."""
     ship(docs.sparkSession)
-    field = Field.fit()
-    name = hashlib.sha256(field.weights.tobytes()).hexdigest()
-    parts = (field.index, field.weights, field.moves)  # a small table's worth
+    bounded_batches(docs.sparkSession)
+    field = trained()
+    name = hashlib.sha256(field.moves.tobytes()).hexdigest()
+    sent = docs.sparkSession.sparkContext.broadcast((field.shapes, field.tables, field.moves))  # a small table's worth
 
     def run(batches):
-        own = _FIELDS.setdefault(name, Field(*parts))
-        for batch in batches:
+        settle("personal data", _FIELDS.clear)
+        if name not in _FIELDS:
+            _FIELDS[name] = Field(*sent.value)
+        own = _FIELDS[name]
+        for batch in small(batches, text):
             texts = [x or "" for x in batch.column(batch.schema.names.index(text)).to_pylist()]
             found = find(texts, own)
             kept = [(f, c) for f, c in zip(batch.schema.names, batch.columns) if f != text]
