@@ -47,3 +47,23 @@ def test_passages_of_other_sources_go(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
     got = corpus_pipeline.one_of_each(spark, corpus_pipeline.drop_boilerplate(spark, docs, ""), "").collect()
     assert len(got) == 4 and all(passage not in r.text and r.n_chars == len(r.text) for r in got)
+
+
+def test_stages_take_odd_rows(spark, sf_dir, tmp_path):
+    long = " ".join(f"word{i}" for i in range(60_000))
+    rows = [(None, None), (None, "free words of no harm at all"), (3, "x y z"), (3, "x y z"), (3, "other words that stand alone here"), (4, ""), (5, long), (6, long + " end")]
+    fields = "doc_id long, text string, lang string, source string, n_chars long, score double, predicted string, n_lines int, n_dropped int, row int, keeper int, c0 int"
+    docs = spark.createDataFrame([(i, t, None, None, None, 0.5, "p", 1, 2, 3, 4, 5) for i, t in rows], fields)
+    kept = []
+    for part in (docs, docs.where("false")):
+        before = part
+        for i, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            path = str(tmp_path / f"{len(kept)}-{i}")
+            stage(spark, before, sf_dir).write.parquet(path)
+            after = spark.read.parquet(path)
+            assert after.columns[: len(docs.columns)] == docs.columns
+            before = after
+        kept.append(sorted(((r.doc_id or 0, r.text) for r in before.collect()), key=lambda r: (r[0], r[1] or "")))
+        assert all(r.lossless and (r.score, r.predicted, r.n_dropped, r.keeper, r.c0) == (0.5, "p", 2, 4, 5) for r in before.collect())
+    assert [(i, (t or "")[:10]) for i, t in kept[0]] == [(0, "free words"), (3, "other word"), (3, "x y z"), (4, ""), (5, "word0 word")]
+    assert kept[1] == []

@@ -198,36 +198,102 @@ def test_passages_shared_between_hosts_go(spark):
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
+PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+
+
+def luhn(digits):
+    doubled = [int(d) * (1 + k % 2) for k, d in enumerate(reversed(digits))]
+    return sum(d // 10 + d % 10 for d in doubled) % 10 == 0
 
 
 def test_base_spans_equal_the_patterns():
     draw = random.Random(1)
-    for _ in range(5000):
-        x = "".join(draw.choice("a1.@-_+ 2") for _ in range(draw.randint(0, 30)))
+    for k in range(9000):
+        if k % 3:
+            x = "".join(draw.choice("a1.@-_+ 2()") for _ in range(draw.randint(0, 30)))
+        else:  # long runs of digits, some of which pass Luhn
+            x = "".join(draw.choice(["4111", "1111", "0", "9", " ", "-", "+", "5500000000000004", "(5)"]) for _ in range(draw.randint(0, 14)))
         got = pii.base_spans(x)
+        digits = [(m.span(), re.sub("[^0-9]", "", m[0])) for m in CARD.finditer(x)]
+        calls = [(m.span(), re.sub("[^0-9]", "", m[0])) for m in PHONE.finditer(x)]
         assert [s[1:] for s in got if s[0] == "email"] == [m.span() for m in EMAIL.finditer(x)]
         assert [s[1:] for s in got if s[0] == "ip"] == [m.span() for m in IP.finditer(x) if all(int(p) <= 255 for p in m[0].split("."))]
-
-
-def test_field_learns_its_table_and_viterbi_is_best():
-    field = pii.Field.fit()
-    right = 0
-    for line in pii.LABELLED:
-        text, spans = pii.parse_labelled(line)
-        base, every = pii.find([text], field)[0]
-        right += set(every) - set(base) == set(spans) - set(base)
-    assert right >= len(pii.LABELLED) - 1
-    tokens = pii.spaced(pii.tokenize("call (555) 492"))
-    labels = field.decode([tokens])[0]
-    e = np.array([field.weights[[field.index.get(f, len(field.index)) for f in row]].sum(0) for row in pii.features(tokens)])
-    first = pii.legal()[0]
-
-    def total(path):
-        return first[path[0]] + e[0, path[0]] + sum(field.moves[a, b] + e[k, b] for k, (a, b) in enumerate(zip(path[:-1], path[1:]), 1))
-
-    draw = random.Random(0)
-    others = [[draw.randrange(len(pii.LABELS)) for _ in tokens] for _ in range(3000)]
-    assert total(list(labels)) >= max(map(total, others)) - 1e-9
+        assert [s[1:] for s in got if s[0] == "card"] == [at for at, d in digits if 16 <= len(d) <= 19 and luhn(d)]
+        assert [s[1:] for s in got if s[0] == "phone"] == [at for at, d in calls if 8 <= len(d) <= 15]
+
+
+def test_viterbi_finds_the_best_of_all_paths():
+    field = pii.trained()
+    for text in ("call (555) 492", "4111 / 1111 x", "10 . 20 . 30", "a at b dot"):
+        tokens = pii.tokenize(text)[:5]
+        e = field.scores(pii.Coded(field.shapes, [tokens]))
+        first = pii.legal()[0]
+        paths = np.array(np.meshgrid(*[range(len(pii.LABELS))] * len(tokens), indexing="ij")).reshape(len(tokens), -1).T
+        total = first[paths[:, 0]] + sum(e[k, paths[:, k]] for k in range(len(tokens))) + sum(field.moves[paths[:, k], paths[:, k + 1]] for k in range(len(tokens) - 1))
+        assert field.decode([tokens])[0].tolist() == paths[total.argmax()].tolist()
+
+
+def test_gradient_of_the_field_is_that_of_the_likelihood():
+    rows = [("call (555) 4", [("phone", 5, 12)]), ("x 1", [])]
+    field = pii.Field.fit(rows, epochs=200, l2=0.0)
+    for text, spans in rows:  # with nothing to hold it back, training makes the labels of the table nearly certain
+        tokens = pii.tokenize(text)
+        e, first = field.scores(pii.Coded(field.shapes, [tokens])), pii.legal()[0]
+        paths = np.array(np.meshgrid(*[range(len(pii.LABELS))] * len(tokens), indexing="ij")).reshape(len(tokens), -1).T
+        total = first[paths[:, 0]] + sum(e[k, paths[:, k]] for k in range(len(tokens))) + sum(field.moves[paths[:, k], paths[:, k + 1]] for k in range(len(tokens) - 1))
+        best = paths[total.argmax()].tolist()
+        assert best == ([0, *([7, 8, 8, 8] if spans else [])] + [0])[: len(tokens)]
+        assert np.exp(total.max() - np.logaddexp.reduce(total)) > 0.9
+
+
+def by_kind(rows):
+    """(precision, recall) of the added spans by kind."""
+    hit, made, true = Tally(), Tally(), Tally()
+    for (_, spans), (base, every) in zip(rows, pii.find([t for t, _ in rows], pii.trained())):
+        made.update(k for k, *_ in set(every) - set(base))
+        true.update(k for k, *_ in spans)
+        hit.update(k for k, *_ in set(every) & set(spans))
+    return {k: (hit[k] / made[k], hit[k] / true[k]) for k in pii.KINDS}
+
+
+def test_the_field_finds_spellings_it_was_not_trained_on(spark, sf_dir):
+    assert all(min(v) >= 0.97 for v in by_kind(pii.labelled(seed=99, copies=10)).values())  # other names and numbers
+    around = {  # other surroundings
+        "email": ["W w w w S w, w", "for w ask S (w)", "w: S | w", "drop S a line", "drop a line at S."],
+        "ip": ["w S w W", "the w machine is S.", "route to S via w"], "card": ["W w w. S w w", "number S valid until ##/##", "billed S twice"],
+        "phone": ["W. w w S w w", "dial S please", "text S, w w", "our office: tel. S, w"],
+    }
+    plain = ["W w w #### w w, w #-#", "w ## w ## w ### w", "on ##.##.#### at ##:## w", "a ### by ### w", "W. ###.###.### w", "#### #### w w"]
+    assert all(min(v) >= 0.9 for v in by_kind(pii.labelled(seed=5, copies=10, around=around, texts=plain)).values())
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect() if r.text]
+    assert all(every == base for base, every in pii.find(texts, pii.trained()))  # nothing is found where nothing was written
+    draw, rows = random.Random(8), []
+    for k, text in enumerate(texts):  # spellings put between the words of documents
+        kind = pii.KINDS[k % 4]
+        at, span = text.find(" ", draw.randrange(len(text))) + 1, pii.spell(draw, draw.choice(pii.SPELLINGS[kind]))
+        rows.append((text[:at] + span + " " + text[at:], [(kind, at, at + len(span))]))
+    assert all(min(v) >= 0.9 for v in by_kind(rows).values())
+
+
+def test_long_windows_are_decoded_in_pieces(monkeypatch):
+    draw, field = random.Random(2), pii.trained()
+    rows = pii.labelled(seed=3, copies=12)
+    draw.shuffle(rows)
+    tokens = pii.tokenize(" ".join(t for t, _ in rows))
+    assert len(tokens) > 20 * pii.MOST
+    pieces, whole = field.labels([tokens])[0], field.decode([tokens])[0]
+    assert len(pieces) == len(tokens) and (pieces == whole).mean() > 0.999
+
+
+def test_a_long_text_of_numbers_takes_bounded_memory():
+    import subprocess
+    import sys
+
+    code = "import resource; from weir.llm import pii; f = pii.trained(); a = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss; x = ','.join(str(i * 7919 % 1000) for i in range(1300000)); pii.find([x, *['a 1'] * 255], f); print(len(x), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - a)"
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, cwd=str(__import__("pathlib").Path(__file__).resolve().parents[2]))
+    size, grown = map(int, done.stdout.split())
+    assert size > 5_000_000 and grown < 150_000  # kB
 
 
 def test_pii_of_odd_rows(spark, docs):
@@ -242,7 +308,7 @@ def test_pii_of_odd_rows(spark, docs):
 def test_licenses(spark, docs):
     rows = EDGE + [
         (30, "aa bb\nLicensed under the Apache License, Version 2.0.\ncc"), (31, "the license of a poet is not a license"),
-        (32, "This work is licenced under the GNU General Public License, version 3."), (33, "Released under the MIT License"), (34, licenses.TEXTS["ISC"]),
+        (32, "This work is licenced under the GNU General Public License, version 3."), (33, "Released under the MIT License"), (34, licenses.TEXTS["ISC"][0]),
         (35, "Licensed under the Apache License, Version 3.0."),
     ]
     got = {r.doc_id: r for r in licenses.scan_licenses(docs(rows)).collect()}
@@ -269,6 +335,59 @@ def test_licenses_are_found_within_prose():
                 assert k in [r[2] for r in scanner.scan(PROSE + notice.replace(" ", "\n", 1) + " " + PROSE)], notice
 
 
+def wrapped(text, width=70):
+    import textwrap
+
+    return "\n".join(textwrap.wrap(text, width, break_long_words=False, break_on_hyphens=False))
+
+
+def test_published_wordings():
+    scanner = licenses.Scanner()
+    for k, texts in licenses.TEXTS.items():
+        for text in (texts[-1], wrapped(texts[-1]), PROSE + "\n\n" + wrapped(texts[-1], 40) + "\n\n" + PROSE):
+            got = scanner.scan(text)
+            assert [r[2] for r in got] == [k] and got[0][4] == 0, (k, got)
+    mit = licenses.TEXTS["MIT"][1]
+    paragraphs = mit.replace("conditions: The above", "conditions:\n\nThe above").replace("Software. THE", "Software.\n\nTHE")
+    assert [r[2:5:2] for r in scanner.scan("MIT-like\n\nCopyright (c) 2020 A. Writer\n\n" + paragraphs)] == [("MIT", 0)]
+    two, three = licenses.TEXTS["BSD-2-Clause"][2], licenses.TEXTS["BSD-3-Clause"][1]
+    named = three.replace("the copyright holder nor", "Example Software Ltd. nor")
+    starred = re.sub(r"\b[123]\. ", "* ", three)
+    for text, want in ((two, "BSD-2-Clause"), (three, "BSD-3-Clause"), (named, "BSD-3-Clause"), (starred, "BSD-3-Clause")):
+        assert [r[2] for r in scanner.scan(wrapped(text))] == [want]
+
+
+def test_places_of_notices_against_brute_force():
+    def costs(notice, block):
+        """Least cost of the notice against words of the block that end at each place."""
+        rows = [[0] * (len(block) + 1)]
+        for i, (w, fixed) in enumerate(zip(notice.words, notice.fixed), 1):
+            lost = notice.never if fixed else 1
+            rows.append([rows[-1][0] + lost])
+            for j, x in enumerate(block, 1):
+                rows[i].append(min(rows[i - 1][j - 1] + (0 if w == x else lost), rows[i - 1][j] + lost, rows[i][j - 1] + 1))
+        return rows[-1]
+
+    scanner, draw = licenses.Scanner(), random.Random(4)
+    for _ in range(40):
+        own = licenses.words(PROSE)[: draw.randint(0, 12)]
+        for notice in draw.sample(scanner.notices, 2):
+            words = list(notice.words)[:60]
+            for _ in range(draw.randint(0, 3)):
+                words[draw.randrange(len(words))] = draw.choice(["word", "license", "the"])
+            own += words + licenses.words(PROSE)[: draw.randint(0, 5)]
+        want = set()
+        for notice in scanner.notices:
+            found = costs(notice, own)
+            if min(found) <= notice.allowed:
+                want.add((notice.license, tuple(notice.words), min(found)))
+        got = {}
+        for cost, _, _, _, notice in scanner.accepted(own):
+            key = notice.license, tuple(notice.words)
+            got[key] = min(cost, got.get(key, cost))
+        assert {(*k, v) for k, v in got.items()} == want
+
+
 def test_every_license_of_a_text_is_reported():
     two = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
     tags = ["SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Apache-2.0"]

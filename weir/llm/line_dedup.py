@@ -61,12 +61,15 @@ def boilerplate(pages: DataFrame, text: str, host: str, ratio: float = RATIO, mi
 
 
 def drop_boilerplate(
-    pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES
+    pages: DataFrame, text: str = "text", host: str = "source", ratio: float = RATIO, min_pages: int = MIN_PAGES, length: str | None = None
 ) -> DataFrame:
-    """pages with text cleaned, and the columns n_lines and n_dropped, which replace any of these names."""
+    """pages with text cleaned, and the columns n_lines and n_dropped, which replace any of these names.
+
+    With length, the columns stay as they are, but the one of that name has the length of each text that lost lines.
+    """
     found = materialize(boilerplate(pages, text, host, ratio, min_pages), "boilerplate")
     small = (found.select(F.sum(16 * F.size("keys") + 64)).first()[0] or 0) <= BROADCAST_BYTES
-    pages = pages.drop("n_lines", "n_dropped")
+    pages = pages if length else pages.drop("n_lines", "n_dropped")
     of, keys, salt = _free(pages, "host_of_keys", "line_keys", "salt")
     found = found.select(F.col("host").alias(of), F.col("keys").alias(keys))
     own = pages[f"`{host}`"].eqNullSafe(found[of])
@@ -80,12 +83,20 @@ def drop_boilerplate(
     n = F.coalesce(F.when(F.col(f"`{text}`").isNotNull(), F.size(lines)), F.lit(0))
     left = F.when(F.col(keys).isNull() | F.col(f"`{text}`").isNull(), n).otherwise(F.size(kept))
     cut = F.when(F.col(keys).isNull(), F.col(f"`{text}`")).otherwise(F.array_join(kept, "\n"))
+    if length:
+        return joined.withColumns({length: _length(F.col(f"`{length}`"), n > left, cut), text: cut}).drop(of, keys)
     return joined.withColumns({"n_lines": n.cast("bigint"), "n_dropped": (n - left).cast("bigint"), text: cut}).drop(of, keys)
 
 
-def drop_passages(pages: DataFrame, text: str = "text", min_words: int = PASSAGE_WORDS, min_pages: int = MIN_PAGES) -> DataFrame:
-    """pages with text without passages, and the column n_dropped, which replaces any of that name."""
-    pages = pages.drop("n_dropped")
+def _length(old: Column, changed: Column, text: Column) -> Column:
+    return F.when(changed, F.length(text).cast("bigint")).otherwise(old)
+
+
+def drop_passages(
+    pages: DataFrame, text: str = "text", min_words: int = PASSAGE_WORDS, min_pages: int = MIN_PAGES, length: str | None = None
+) -> DataFrame:
+    """pages with text without passages, and the column n_dropped, which replaces any of that name; length as in drop_boilerplate."""
+    pages = pages if length else pages.drop("n_dropped")
     page, keys = _free(pages, "page_key", "line_keys")
     own = F.col(f"`{text}`")
     long = F.filter(F.array_distinct(_lines("text")), lambda v: F.size(F.split(F.trim(v), r"\s+")) > min_words)
@@ -98,4 +109,5 @@ def drop_passages(pages: DataFrame, text: str = "text", min_words: int = PASSAGE
     kept = F.filter(_lines(f"`{text}`"), lambda v: ~F.array_contains(keys, _key(v)))
     n = F.when(F.col(keys).isNull(), 0).otherwise(F.size(_lines(f"`{text}`")) - F.size(kept)).cast("bigint")
     cut = F.when(F.col(keys).isNull(), own).otherwise(F.array_join(kept, "\n"))
-    return joined.withColumns({"n_dropped": n, text: cut}).drop(page, keys)
+    made = {length: _length(F.col(f"`{length}`"), n > 0, cut)} if length else {"n_dropped": n}
+    return joined.withColumns(made | {text: cut}).drop(page, keys)

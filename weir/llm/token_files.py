@@ -2,7 +2,7 @@
 
 Texts become ids by the tokenizers library; an end id follows each document. Documents go in
 ascending doc_id order (then by a hash of the text), null doc_id first, dealt by ranges to one
-file a partition. A file holds `ids` fixed_size_list<uint16 or uint32>[LENGTH] (the narrower
+file a partition, as many as the input's planned bytes ask for. A file holds `ids` fixed_size_list<uint16 or uint32>[LENGTH] (the narrower
 where the vocabulary fits) and `mask` fixed_size_list<bool>[LENGTH] in record batches of ROWS rows: sequence i is row i % ROWS of
 batch i // ROWS, a slice of the mapped file without a copy. Only the last row of a file is
 padded (mask false). Beside it lies an index file with each document's doc_id, first position in
@@ -10,7 +10,8 @@ the file and number of ids. A file is written under another name and moved when
 task that runs again, or twice, leaves one right file.
 
 Nulls: a null text counts as empty and yields only the end id. Repeated rows are encoded each.
-An empty table writes no sequences. Columns other than doc_id and text are ignored.
+An empty table writes no sequences. A text of any length is encoded in segments of bounded size. Columns other than doc_id and
+text are ignored.
 """
 
 from __future__ import annotations

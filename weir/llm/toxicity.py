@@ -18,7 +18,8 @@ Nulls: a null or empty text has no features and scores by the intercept alone. R
 with null doc_id or label, or without a document, teach nothing; where labels conflict, a document
 is toxic if any says so. Without both classes the score is 0.0; it is an error if a class has more labels than are
 sampled, and none of those sampled has a document. An empty table gives an empty
-result; other columns pass through; score and predicted are replaced.
+result; a text of any length is scored whole; other columns pass through; score() replaces score and predicted, without_toxic()
+leaves all columns as they are.
 """
 
 from __future__ import annotations
@@ -31,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from weir.llm.shared import settle, small
+from weir.llm.shared import bounded_batches, settle, small
 from weir.session import ship
 
 N_FROM, N_TO, BITS, MIN_TEXTS = 3, 5, 18, 5
@@ -124,7 +125,7 @@ class Model:
             if got is None:
                 got = self.word(w)
                 if len(w) <= 32:
-                    if len(words) >= 250_000:
+                    if len(words) >= 200_000:
                         words.clear()
                     words[w] = got
             total.append(got[0])
@@ -136,6 +137,7 @@ class Model:
 def train(docs: DataFrame, labels: DataFrame, sample: tuple = SAMPLE, chars: tuple = SAMPLE_CHARS) -> Model:
     """Fit on a bounded sample of docs (doc_id, text) joined with labels (doc_id, toxic)."""
     ship(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     marks = labels.where("doc_id is not null and toxic is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     drawn = F.xxhash64("doc_id")
@@ -153,7 +155,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple = SAMPLE, chars: tup
 
     def features(batches):
         settle("toxicity features", _FEATURES.clear)
-        for batch in batches:
+        for batch in small(batches, 1):
             rows = [text_features(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "features"])
 
@@ -177,27 +179,46 @@ def loaded(name: str, sent) -> Model:
     return _LOADED[name]
 
 
-def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """docs with score double and predicted int."""
-    spark = docs.sparkSession
+def _scorer(spark, model: Model, text: str):
+    """A function for tasks: batches of rows with the score of each row."""
     ship(spark)
-    docs = docs.drop("score", "predicted")
+    bounded_batches(spark)
     sent = spark.sparkContext.broadcast((model.weights, model.intercept))  # 2 ** BITS floats, whatever the corpus
     name = uuid.uuid4().hex
 
-    def run(batches):
+    def scores(batches):
         settle("toxicity", _LOADED.clear)
         own = loaded(name, sent)
         for batch in small(batches, text):
-            texts = batch.column(batch.schema.names.index(text)).to_pylist()
-            scores = np.array([own.score(x or "") for x in texts], np.float64)
-            more = [pa.array(scores), pa.array((scores >= threshold).astype(np.int32))]
+            yield batch, np.array([own.score(x or "") for x in batch.column(batch.schema.names.index(text)).to_pylist()], np.float64)
+
+    return scores
+
+
+def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """docs with score double and predicted int."""
+    docs, scores = docs.drop("score", "predicted"), _scorer(docs.sparkSession, model, text)
+
+    def run(batches):
+        for batch, found in scores(batches):
+            more = [pa.array(found), pa.array((found >= threshold).astype(np.int32))]
             yield pa.RecordBatch.from_arrays([*batch.columns, *more], [*batch.schema.names, "score", "predicted"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
     return docs.mapInArrow(run, f"{fields}, score double, predicted int")
 
 
+def without_toxic(docs: DataFrame, model: Model, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
+    """The rows of docs that score below the threshold."""
+    scores = _scorer(docs.sparkSession, model, text)
+
+    def run(batches):
+        for batch, found in scores(batches):
+            yield batch.filter(pa.array(found < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id) -> "F.Column":
     """Rows whose labels are kept for measuring."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
