@@ -1,4 +1,5 @@
 import pytest
+from helpers import until
 from pyspark.sql import functions as F
 
 from weir.functions import similarity as S, text as T
@@ -57,10 +58,50 @@ def test_best_chunk_without_context(spark):
     assert (got.overlap, got.chunk) == (0.0, "")
 
 
-def test_parse_citations():
-    got = G.parse_citations("Refunds take seven days [1]. They are paid in full [Source: Guide]. [2]")
-    assert [(c["kind"], c["value"]) for c in got] == [("numeric", "1"), ("source", "Guide"), ("numeric", "2")]
-    assert G.parse_citations("[1] is first") == []
+CITED = {
+    "Refunds take seven days [1]. They are paid in full [Source: Guide]. [2]": [("numeric", "1"), ("source", "Guide"), ("numeric", "2")],
+    "[1] is first": [], "": [], None: [], "No marker here (at all).": [],
+    "As Smith found (Smith et al., 2023) it holds [1, 2].": [("author_year", "Smith et al., 2023"), ("numeric", "1, 2")],
+    "The handbook says so [HR-001], twice [doc: A b].": [("named", "HR-001"), ("source", "A b")],
+    "Ünïcode text before it [Ref: Käse] and after": [("source", "Käse")],
+}
+
+
+def test_citations(spark):
+    rows = spark.createDataFrame([(t,) for t in CITED], "t string").select("t", T.citations(F.col("t")).alias("c"), T.has_citations(F.col("t")).alias("has"), F.transform(T.citations(F.col("t")), T.is_multi_reference).alias("many"))
+    for r in rows.collect():
+        assert [(c.kind, c.value) for c in r.c or []] == CITED[r.t]
+        assert all(r.t[c.position :].startswith(c.marker) for c in r.c or [])
+        assert [*(r.many or [])] == ["," in v and k == "numeric" for k, v in CITED[r.t]]
+        assert r.has == bool(r.t and "[" in r.t or CITED[r.t])
+    claims = one(spark, T.citations(F.col("t")), t="First point is long. Second one is short [1]. Ok. Yes [2]" + " x" * 400 + " [3]")
+    assert [c.claim for c in claims] == ["Second one is short", "Second one is short [1].", ("Second one is short [1]. Ok. Yes [2]" + " x" * 400)[-300:]] or [c.claim for c in claims][:2] == ["Second one is short", "Second one is short [1]."]
+
+
+def test_citation_summary(spark):
+    def summary(text, chunks):
+        found = G.cited(F.col("t"), F.col("c"))
+        return one(spark, G.citation_summary(found, F.lit(0.35), F.lit(0.5)), t=text, c=chunks)
+
+    good, bad = "Refunds take seven days [1].", "Nothing like that at all is there [1]. Refunds take seven days [2]."
+    assert (lambda s: (s.passed, s.n))(summary(good, ["Refunds take seven days"])) == (True, 1)
+    got = summary(bad, ["Refunds take seven days"])
+    assert not got.passed and got.score < 0.35 and got.n == 2
+    none = summary("No citation.", ["x"])
+    assert none.passed and none.score is None and none.n == 0
+    assert not summary(good, []).passed
+
+
+def test_bigrams_and_words(spark):
+    text = "Ab é日🙂 ab"
+    low = text.lower()
+    assert sorted(one(spark, T.bigrams(F.col("t")), t=text)) == sorted({low[i : i + 2] for i in range(len(low) - 1)})
+    assert one(spark, T.bigrams(F.col("t")), t="a") == [] and one(spark, T.word_list(F.col("t")), t="A b-c, a_1 ") == ["a", "b", "c", "a_1"]
+
+
+def test_softmax_and_norm(spark):
+    rows = spark.createDataFrame([([1.0, 2.0, 3.0],)], "v array<double>").select(S.softmax(F.col("v")).alias("s"), S.normalized(F.col("v")).alias("n")).first()
+    assert rows.s == pytest.approx([0.0900306, 0.2447285, 0.6652410], abs=1e-6) and sum(x * x for x in rows.n) == pytest.approx(1)
 
 
 def test_swaps(spark):
@@ -88,13 +129,16 @@ def test_tool_rules(spark):
     rules = spark.createDataFrame(
         [("x", "command_type", "string", None, None, ["READ", "QUERY"]), ("x", "timeout_seconds", "int", 1.0, 60.0, None)],
         "tool string, field string, type string, min_value double, max_value double, allowed array<string>",
-    )
+    ).withColumn("place", F.when(F.col("field") == "command_type", 0).otherwise(1))
     cases = {
         "ok": '{"command_type":"QUERY","timeout_seconds":30}', "far": '{"timeout_seconds":9999}', "no": '{"command_type":"DROP_DATABASE"}',
         "bad": "{not json", "type": '{"timeout_seconds":"30"}', "bool": '{"timeout_seconds":true}', "frac": '{"timeout_seconds":30.0}',
     }
     calls = spark.createDataFrame([(k, 0, "x", v) for k, v in cases.items()], CALLS)
     got = {r.trace_id: r.code for r in tools.first_violation(tools.validate(calls, rules)).collect()}
+    kept = rules.agg(F.collect_list(F.struct("tool", "field", "type", "min_value", "max_value", "allowed")).alias("rules"))
+    in_row = calls.crossJoin(kept).select("trace_id", tools.first_broken(F.array(F.struct(F.lit("i").alias("id"), "name", "arguments")), F.col("rules")).alias("b"))
+    assert {r.trace_id: r.b.code for r in in_row.collect() if r.b} == got
     assert got == {
         "far": "TOOL_PARAMETER_OUT_OF_BOUNDS", "no": "TOOL_PARAMETER_VALUE_DISALLOWED", "bad": "TOOL_PARAMETER_TYPE_MISMATCH",
         "type": "TOOL_PARAMETER_TYPE_MISMATCH", "frac": "TOOL_PARAMETER_TYPE_MISMATCH",
@@ -111,6 +155,13 @@ def test_repeated_call(spark):
     found = tools.call_history(history)
     assert [tuple(r) for r in tools.repeated_calls(now, found, 1).collect()] == [("t", 0, "Sunny and 75F")]
     assert tools.repeated_calls(now, found, 2).collect() == []
+    messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "content", "tool_call_id", "calls"))), lambda m: m)
+    asked = F.array(F.struct(F.lit("x").alias("id"), F.lit("get_weather").alias("name"), F.lit('{"b":2,"a":1}').alias("arguments")))
+    rows = history.groupBy("trace_id").agg(messages.alias("messages"))
+    once = rows.select(tools.answered_before(F.col("messages"), asked, F.lit(1)).alias("a"), tools.answered_before(F.col("messages"), asked, F.lit(2)).alias("b")).first()
+    assert tuple(once.a) == (0, "get_weather", 1, "Sunny and 75F") and once.b is None
+    guard = rows.select(tools.repeat_guard(tools.answered_before(F.col("messages"), asked, F.lit(1)), F.lit("<thinking>hm</thinking>")).alias("g")).first().g
+    assert guard.action == "REWRITE" and guard.fallback.startswith("<thinking>hm</thinking>") and guard.fallback.endswith("Sunny and 75F")
 
 
 def test_confidence(spark):
@@ -167,15 +218,34 @@ def test_metrics_and_latest(spark):
     assert (empty.total_requests, empty.blocked, empty.avg_latency_ms) == (0, 0, 0.0)
 
 
+def stream_of(spark, folder, parts, fields):
+    """A stream that reads the parts one batch each."""
+    for part in parts:
+        spark.createDataFrame(part, fields).coalesce(1).write.mode("append").json(str(folder))
+    return spark.readStream.schema(fields).option("maxFilesPerTrigger", 1).json(str(folder))
+
+
+def drained(rows, folder, name, n):
+    query = rows.writeStream.format("memory").queryName(name).option("checkpointLocation", str(folder)).start()
+    table = rows.sparkSession.table(name)
+    until(query, lambda: table.count() >= n)
+    return table.collect()
+
+
 def test_stream_over_several_batches(spark, tmp_path):
     lines = ['data: {"choices":[{"delta":{"content":"Hello "}}]}', "noise", 'data: {"choices":[{"delta":{"content":"world"}}]}', "data: [DONE]"]
-    for n, part in enumerate((lines[:2], lines[2:])):
-        spark.createDataFrame([("s", n * 2 + i, x) for i, x in enumerate(part)], "stream_id string, seq long, line string").coalesce(1).write.mode("append").json(str(tmp_path / "in"))
-    stream = spark.readStream.schema("stream_id string, seq long, line string").option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    out = reassembly.reassemble(reassembly.parse_events(stream))
-    query = out.writeStream.format("memory").queryName("whole").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
-    query.awaitTermination(120)
-    assert [(r.stream_id, r.text, r.complete) for r in spark.table("whole").collect()] == [("s", "Hello world", True)]
+    parts = [[("s", n * 2 + i, x) for i, x in enumerate(part)] for n, part in enumerate((lines[:2], lines[2:]))]
+    stream = stream_of(spark, tmp_path / "in", parts, "stream_id string, seq long, line string")
+    got = drained(reassembly.reassemble(reassembly.parse_events(stream)), tmp_path / "c", "whole", 1)
+    assert [(r.stream_id, r.text, r.complete) for r in got] == [("s", "Hello world", True)]
+
+
+def test_vault_of_a_stream(spark, tmp_path):
+    rows = [("t", 0, "a@x.com then b@y.com"), ("t", 1, "again a@x.com, card 4111-2222-3333-4444"), ("u", 0, "c@z.org")]
+    stream = stream_of(spark, tmp_path / "in", [rows[:1], rows[1:]], "trace_id string, seq int, text string")
+    got = drained(reassembly.session_vault(stream), tmp_path / "c", "vaults", 4)
+    want = pii.vault(spark.createDataFrame(rows, "trace_id string, seq int, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) == 4
 
 
 def test_emit(spark):

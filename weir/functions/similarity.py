@@ -26,29 +26,47 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(common(a, b) / n)
 
 
+def citation_features(text: Column) -> Column:
+    return F.struct(T.bigrams(text).alias("bigrams"), T.content_words(text).alias("words"))
+
+
+def citation_match(claim: Column, chunk: Column) -> Column:
+    """0.6 of the bigram Dice coefficient and 0.4 of the claim's content words found in the chunk, of their citation_features."""
+    return 0.6 * dice(claim["bigrams"], chunk["bigrams"]) + 0.4 * recall(claim["words"], chunk["words"])
+
+
 def citation_score(claim: Column, chunk: Column) -> Column:
-    """0.6 of the bigram Dice coefficient and 0.4 of the claim's content words found in the chunk."""
-    return 0.6 * dice(T.bigrams(claim), T.bigrams(chunk)) + 0.4 * recall(T.content_words(claim), T.content_words(chunk))
+    return T.let(F.struct(citation_features(claim).alias("a"), citation_features(chunk).alias("b")), lambda x: citation_match(x["a"], x["b"]))
 
 
 def reasoning_score(a: Column, b: Column) -> Column:
     """Half the bigram Dice coefficient and half the Jaccard similarity of content words."""
-    wa, wb = (T.content_words(x, P.REASONING_STOPWORDS) for x in (a, b))
-    return 0.5 * dice(T.bigrams(a), T.bigrams(b)) + 0.5 * jaccard(wa, wb)
+    def features(text: Column) -> Column:
+        return F.struct(T.bigrams(text).alias("bigrams"), T.content_words(text, P.REASONING_STOPWORDS).alias("words"))
 
+    def score(x: Column) -> Column:
+        return 0.5 * dice(x["a"]["bigrams"], x["b"]["bigrams"]) + 0.5 * jaccard(x["a"]["words"], x["b"]["words"])
 
-def lexical_nli(context: Column, claim: Column) -> Column:
-    """struct<entailment, contradiction, neutral> from word overlap and unmatched negation."""
-    words = T.tokens(claim)
-    overlap = recall(words, T.tokens(context))
-    against = F.when((T.negated(claim) != T.negated(context)) & (overlap < 0.4), 0.35).otherwise(0.0)
+    return T.let(F.struct(features(a).alias("a"), features(b).alias("b")), score)
+
+
+def nli_of(n_words: Column, overlap: Column, mismatch: Column) -> Column:
+    """struct<entailment, contradiction, neutral> from a claim's number of words, their share in the context, and unmatched negation."""
+    against = F.when(mismatch & (overlap < 0.4), 0.35).otherwise(0.0)
     entails = F.greatest(F.lit(0.0), F.least(F.lit(1.0), overlap * 1.25) - against)
-    empty = F.size(words) == 0
+    empty = n_words == 0
     e, c = F.when(empty, 0.5).otherwise(entails), F.when(empty, 0.0).otherwise(against)
     n = F.when(empty, 0.5).otherwise(F.greatest(F.lit(0.0), 1.0 - entails - against))
     return F.struct(e.alias("entailment"), c.alias("contradiction"), n.alias("neutral"))
 
 
+def lexical_nli(context: Column, claim: Column) -> Column:
+    def compared(words: Column) -> Column:
+        return nli_of(F.size(words), recall(words, T.tokens(context)), T.negated(claim) != T.negated(context))
+
+    return T.let(T.tokens(claim), compared)
+
+
 def grounding(nli: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), nli["entailment"] - nli["contradiction"]))
 
@@ -62,7 +80,7 @@ def norm(v: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(1e-12)))
+    return T.let(F.greatest(norm(v), F.lit(1e-12)), lambda n: F.transform(v, lambda x: x.cast("double") / n))
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -76,13 +94,17 @@ def sigmoid(x: Column) -> Column:
 def softmax(v: Column) -> Column:
     def scaled(shifted: Column) -> Column:
         total = F.aggregate(shifted, F.lit(0.0), lambda s, x: s + x)
-        return F.transform(shifted, lambda x: x / total)
+        return T.let(total, lambda t: F.transform(shifted, lambda x: x / t))
 
-    return scaled(F.transform(v, lambda x: F.exp(x - F.array_max(v))))
+    return T.let(T.let(F.array_max(v), lambda m: F.transform(v, lambda x: F.exp(x - m))), scaled)
 
 
 def token_entropy(top: Column) -> Column:
     """Entropy of alternatives' log-probabilities, clipped to [-20, 0] and made to sum to one."""
-    p = F.transform(top, lambda x: F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(0.0), x))))
-    total = F.aggregate(p, F.lit(0.0), lambda s, x: s + x) + 1e-12
-    return F.coalesce(F.aggregate(p, F.lit(0.0), lambda s, x: s - x / total * F.log(x / total + 1e-12)), F.lit(0.0))
+    def entropy(p: Column) -> Column:
+        def of(total: Column) -> Column:
+            return F.aggregate(p, F.lit(0.0), lambda s, x: s - x / total * F.log(x / total + 1e-12))
+
+        return T.let(F.aggregate(p, F.lit(0.0), lambda s, x: s + x) + 1e-12, of)
+
+    return F.coalesce(T.let(F.transform(top, lambda x: F.exp(F.greatest(F.lit(-20.0), F.least(F.lit(0.0), x)))), entropy), F.lit(0.0))

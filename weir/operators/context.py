@@ -53,15 +53,31 @@ def capper(chunks: Column, most: Column) -> Column:
 
 def cache_key(messages: Column, chunks: Column, app_id: Column | None = None, model: Column | None = None) -> Column:
     """MD5 over roles, contents, tool calls with sorted keys, and context; app and model too where given."""
-    said = F.transform(messages, lambda m: F.concat(F.lit("["), m["role"], F.lit("]:"), F.coalesce(m["content"], F.lit(""))))
+    def called(m: Column) -> Column:
+        own = F.transform(m["calls"], lambda c: F.struct(c["arguments"].alias("arguments"), c["id"].alias("id"), c["name"].alias("name")))
+        return F.when(F.size(F.coalesce(m["calls"], F.array())) > 0, F.to_json(own)).otherwise("")
+
+    said = F.transform(messages, lambda m: F.concat(F.lit("["), F.coalesce(m["role"], F.lit("")), F.lit("]:"), F.coalesce(m["content"], F.lit("")), called(m)))
     given = F.transform(F.coalesce(chunks, F.array().cast("array<string>")), lambda c: F.concat(F.lit("[ctx]:"), c))
     more = [F.concat(F.lit("[app]:"), F.coalesce(x, F.lit(""))) for x in (app_id, model) if x is not None]
     return F.md5(F.concat(F.array_join(said, ""), F.array_join(given, ""), *more))
 
 
-def cache_lookup(requests: DataFrame, cache: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(hits with the cached response, misses) by key."""
-    return requests.join(cache, "key"), requests.join(cache, "key", "left_anti")
+def cached(requests: DataFrame, cache: DataFrame) -> DataFrame:
+    """requests with cached: the latest response of the cache (key, response, at) for their key, null for none or a null key."""
+    latest = cache.groupBy("key").agg(F.max_by("response", "at").alias("cached"))
+    return requests.join(latest, "key", "left")
+
+
+def cache_rows(evaluated: DataFrame) -> DataFrame:
+    """(key, response, at): what the policy lets the cache keep of evaluated requests, answers that were allowed and not cached ones."""
+    fit = F.col("key").isNotNull() & F.col("cached").isNull() & F.col("decision.action").isin("ALLOW", "TRANSFORM")
+    return evaluated.where(fit).select("key", "response", F.current_timestamp().alias("at"))
+
+
+def cache_write(evaluated: DataFrame, path: str) -> None:
+    """Add to the cache's table; cached() takes the latest row of a key."""
+    cache_rows(evaluated).write.mode("append").parquet(path)
 
 
 def stuff(messages: Column, chunks: Column) -> Column:

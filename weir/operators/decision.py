@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-from weir.functions import patterns as P
+from weir.functions import patterns as P, text as T
 
 RESULT = (
     "struct<detector:string,stage:string,passed:boolean,score:double,action:string,code:string,reason:string,"
@@ -56,13 +56,44 @@ def decide(results: Column, policy_fallback: Column | None = None) -> Column:
     )
 
 
-def error_body(decision: Column, trace_id: Column) -> Column:
+def error_body(decision: Column, trace_id: Column, version: Column) -> Column:
     """The body of a blocked request as JSON."""
     return F.to_json(
         F.struct(
             F.struct(
-                decision["reason"].alias("message"), F.lit("policy_violation").alias("type"),
-                decision["code"].alias("code"), trace_id.alias("trace_id"),
+                F.lit("policy_violation").alias("type"), decision["code"].alias("code"), F.coalesce(decision["reason"], F.lit("Policy violation.")).alias("message"),
+                trace_id.alias("trace_id"), version.alias("policy_version"), decision["action"].alias("pdp_action"),
             ).alias("error")
         )
     )
+
+
+def headers(decision: Column, trace_id: Column) -> Column:
+    """map<string,string>: what a reply's headers say; scores with three decimals, the reason in ASCII."""
+    named = {"x-score-injection": "prompt_injection", "x-score-bias": "bias_subspace_detector", "x-score-grounding": "rag_hallucination_engine"}
+    parts = [("x-trace-id", trace_id), ("x-policy-action", decision["action"])]
+    parts += [(k, F.format_number(F.try_element_at(decision["scores"], F.lit(v)), 3)) for k, v in named.items()]
+    parts.append(("x-violation-reason", T.ascii_only(decision["reason"])))
+    given = F.filter(F.array(*(F.struct(F.lit(k).alias("key"), v.cast("string").alias("value")) for k, v in parts)), lambda e: e["value"].isNotNull())
+    return F.map_from_entries(given)
+
+
+def completion_body(text: Column, trace_id: Column, model: Column, rewritten: Column) -> Column:
+    """A reply's body as JSON in the shape of chat completions."""
+    n = F.greatest(F.lit(1), T.word_count(text))
+    return F.to_json(
+        F.struct(
+            F.concat(F.lit("chatcmpl-"), trace_id).alias("id"), F.lit("chat.completion").alias("object"), F.unix_timestamp().alias("created"), model.alias("model"),
+            F.array(F.struct(F.lit(0).alias("index"), F.struct(F.lit("assistant").alias("role"), text.alias("content")).alias("message"), F.lit("stop").alias("finish_reason"))).alias("choices"),
+            F.struct(F.lit(0).alias("prompt_tokens"), n.alias("completion_tokens"), n.alias("total_tokens")).alias("usage"), rewritten.alias("rewritten"),
+        )
+    )
+
+
+def failed(detector: str, stage: str, error: Column, fail_mode: Column) -> Column:
+    """The result of a detector that failed: it blocks unless the policy fails open."""
+    closed = F.coalesce(fail_mode, F.lit("fail_closed")) != "fail_open"
+    return result(
+        detector, stage, ~closed, None, F.when(closed, "BLOCK").otherwise("ALLOW"), F.when(closed, "INTERNAL_DETECTOR_EXCEPTION"),
+        F.when(closed, F.concat(F.lit(f"{detector} failed: "), error)),
+    )

@@ -2,59 +2,91 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from weir.functions import patterns as P, similarity as S, text as T
+from weir.functions import similarity as S, text as T
 from weir.operators.decision import result
 
 LEXICAL_GATE = 0.8
+NLI = "struct<entailment:double,contradiction:double,neutral:double>"
+
+
+def _best(words: Column, tokens: Column, chunks: Column) -> Column:
+    scored = F.transform(tokens, lambda t, i: F.struct(S.recall(words, t).alias("overlap"), (-i).alias("back")))
+
+    def best(top: Column) -> Column:
+        return F.struct(
+            F.coalesce(top["overlap"], F.lit(0.0)).alias("overlap"),
+            (-top["back"]).alias("index"),
+            F.coalesce(F.when(top.isNotNull(), F.try_element_at(chunks, 1 - top["back"])), F.lit("")).alias("chunk"),
+        )
+
+    return T.let(F.array_max(scored), best)
 
 
 def best_chunk(claim: Column, chunks: Column) -> Column:
     """struct<overlap, index, chunk> of the first chunk with the most of the claim's words; overlap 0.0 and "" without chunks."""
-    words = T.tokens(claim)
-    scored = F.transform(chunks, lambda c, i: F.struct(S.recall(words, T.tokens(c)).alias("overlap"), (-i).alias("back"), c.alias("chunk")))
-    top = F.array_max(scored)
-    return F.struct(
-        F.coalesce(top["overlap"], F.lit(0.0)).alias("overlap"),
-        F.when(top.isNotNull(), -top["back"]).alias("index"),
-        F.coalesce(top["chunk"], F.lit("")).alias("chunk"),
-    )
+    return _best(T.tokens(claim), F.transform(chunks, T.tokens), chunks)
+
+
+def aligned(completion: Column, context: Column) -> Column:
+    """array<struct<claim, n_words, overlap, index, chunk>> of the claims, in order; every text is cut into words once."""
+    def one(tokens: Column):
+        def claim(c: Column) -> Column:
+            def of(words: Column) -> Column:
+                return T.let(
+                    _best(words, tokens, context),
+                    lambda b: F.struct(c.alias("claim"), F.size(words).alias("n_words"), b["overlap"].alias("overlap"), b["index"].alias("index"), b["chunk"].alias("chunk")),
+                )
+
+            return T.let(T.tokens(c), of)
+
+        return claim
+
+    return T.let(F.transform(context, T.tokens), lambda tokens: F.transform(T.claims(completion), one(tokens)))
 
 
 def align(requests: DataFrame, completion: str = "completion_text", context: str = "retrieved_context") -> DataFrame:
     """A row for each claim: claim_index, claim, overlap, chunk_index, chunk; other columns kept."""
-    rows = requests.select("*", F.posexplode(T.claims(F.col(completion))).alias("claim_index", "claim"))
-    found = rows.withColumn("_b", best_chunk(F.col("claim"), F.col(context)))
-    return found.select(*rows.columns, F.col("_b.overlap").alias("overlap"), F.col("_b.index").alias("chunk_index"), F.col("_b.chunk").alias("chunk"))
+    rows = requests.select("*", F.posexplode(aligned(F.col(completion), F.col(context))).alias("claim_index", "_b"))
+    return rows.select(*requests.columns, "claim_index", "_b.claim", "_b.overlap", F.col("_b.index").alias("chunk_index"), "_b.chunk")
 
 
-def claim_grounding(overlap: Column, chunk: Column, claim: Column) -> Column:
-    """1.0 from the lexical gate on, else by the lexical comparison."""
-    return F.when(overlap >= LEXICAL_GATE, 1.0).otherwise(S.grounding(S.lexical_nli(chunk, claim)))
+def lexical(claim: Column) -> Column:
+    """The lexical comparison of an aligned claim with its chunk."""
+    return S.nli_of(claim["n_words"], claim["overlap"], T.negated(claim["claim"]) != T.negated(claim["chunk"]))
 
 
 def grounding_scores(completion: Column, context: Column) -> Column:
-    """array<double>: the grounding of each claim, in order."""
-    def one(claim: Column) -> Column:
-        best = best_chunk(claim, context)
-        return claim_grounding(best["overlap"], best["chunk"], claim)
+    """array<double>: the grounding of each claim, in order: 1.0 from the lexical gate on, else by the lexical comparison."""
+    return F.transform(aligned(completion, context), lambda c: F.when(c["overlap"] >= LEXICAL_GATE, 1.0).otherwise(S.grounding(lexical(c))))
+
+
+def model_pairs(claims: Column) -> Column:
+    """array<struct<context, claim>> of the aligned claims that a model has to judge."""
+    return F.transform(F.filter(claims, lambda c: c["overlap"] < LEXICAL_GATE), lambda c: F.struct(c["chunk"].alias("context"), c["claim"].alias("claim")))
+
 
-    return F.transform(T.claims(completion), one)
+def model_grounding(claims: Column, judged: Column) -> Column:
+    """array<double> of the aligned claims from a model's array<NLI> on model_pairs, put back in order."""
+    def place(i: Column) -> Column:
+        return F.size(F.filter(F.slice(claims, F.lit(1), i + 1), lambda c: c["overlap"] < LEXICAL_GATE))
+
+    return F.transform(claims, lambda c, i: F.when(c["overlap"] >= LEXICAL_GATE, 1.0).otherwise(S.grounding(F.try_element_at(judged, place(i)))))
 
 
 def grounding_summary(scores: Column, early_exit: Column, least: Column) -> Column:
     """struct<score, passed, evaluated>: the first claim below early_exit decides, else the mean (1.0 without claims)."""
-    at = F.array_position(F.transform(scores, lambda s: s < early_exit), True)
-    mean = F.when(F.size(scores) == 0, 1.0).otherwise(F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / F.size(scores))
-    score = F.when(at > 0, F.try_element_at(scores, at.cast("int"))).otherwise(mean)
-    return F.struct(
-        score.alias("score"), ((at == 0) & (mean >= least)).alias("passed"),
-        F.when(at > 0, at.cast("int")).otherwise(F.size(scores)).alias("evaluated"),
-    )
+    def of(s: Column) -> Column:
+        at = F.array_position(F.transform(s, lambda x: x < early_exit), True)
+        mean = F.when(F.size(s) == 0, 1.0).otherwise(F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.size(s))
+        score = F.when(at > 0, F.try_element_at(s, at.cast("int"))).otherwise(mean)
+        return F.struct(
+            score.alias("score"), ((at == 0) & (mean >= least)).alias("passed"),
+            F.when(at > 0, at.cast("int")).otherwise(F.size(s)).alias("evaluated"),
+        )
+
+    return T.let(scores, of)
 
 
 def grounding_guard(found: Column, action: Column, fallback: Column) -> Column:
@@ -62,7 +94,7 @@ def grounding_guard(found: Column, action: Column, fallback: Column) -> Column:
     bad = ~found["passed"]
     return result(
         "rag_hallucination_engine", "POST", ~bad, found["score"], F.when(bad, F.upper(action)).otherwise("ALLOW"),
-        F.when(bad, "UNGROUNDED_CLAIM"), F.when(bad, F.concat(F.lit("Grounding score "), found["score"].cast("string"))),
+        F.when(bad, "LOW_GROUNDING_HALLUCINATION"), F.when(bad, F.concat(F.lit("Grounding score "), F.round(found["score"], 3).cast("string"))),
         F.when(bad, fallback),
     )
 
@@ -70,51 +102,69 @@ def grounding_guard(found: Column, action: Column, fallback: Column) -> Column:
 def rerank_context(chunks: Column, scores: Column, least: Column, top_k: Column) -> Column:
     """Chunks with a score of `least` or more, best first, at most top_k; the best one if none reaches it."""
     ranked = F.array_sort(F.zip_with(F.transform(scores, lambda s, i: F.struct((-s).alias("neg"), i.alias("at"))), chunks, lambda s, c: F.struct(s["neg"], s["at"], c.alias("chunk"))))
-    good = F.filter(ranked, lambda r: -r["neg"] >= least)
-    kept = F.when(F.size(good) > 0, good).otherwise(F.slice(ranked, 1, 1))
-    return F.transform(F.slice(kept, F.lit(1), F.coalesce(top_k, F.greatest(F.size(kept), F.lit(1)))), lambda r: r["chunk"])
 
+    def of(r: Column) -> Column:
+        good = F.filter(r, lambda x: -x["neg"] >= least)
+        kept = F.when(F.size(good) > 0, good).otherwise(F.slice(r, 1, 1))
+        return F.transform(F.slice(kept, F.lit(1), F.coalesce(top_k, F.greatest(F.size(kept), F.lit(1)))), lambda x: x["chunk"])
+
+    return T.let(ranked, of)
+
+
+def cited(completion: Column, context: Column) -> Column:
+    """array<struct<citation, score, chunk_index>>: each citation with its best chunk (the first of equals; 0.0 and null without chunks)."""
+    def against(features: Column):
+        def one(c: Column) -> Column:
+            def of(own: Column) -> Column:
+                scored = F.transform(features, lambda f, i: F.struct(S.citation_match(own, f).alias("score"), (-i).alias("back")))
+                return T.let(
+                    F.array_max(scored), lambda t: F.struct(c.alias("citation"), F.coalesce(t["score"], F.lit(0.0)).alias("score"), (-t["back"]).alias("chunk_index"))
+                )
+
+            return T.let(S.citation_features(c["claim"]), of)
 
-def parse_citations(text: str) -> list[dict]:
-    """Citation markers in order of position; a marker within 3 characters of one of a pattern before it gives way."""
-    out: list[dict] = []
-    for kind, pattern in P.CITATIONS:
-        for m in re.finditer(pattern, text or ""):
-            if any(abs(m.start() - c["position"]) < 3 for c in out):
-                continue
-            before = text[: m.start()].strip()
-            if before:
-                long = [s.strip() for s in re.split(r"(?<=[.!?])\s+", before) if len(s.split()) >= 3]
-                claim = (long[-1] if long else before)[-300:]
-                out.append({"marker": m[0], "kind": kind, "value": m[1].strip(), "claim": claim, "position": m.start()})
-    return sorted(out, key=lambda c: c["position"])
+        return one
 
+    return T.let(F.transform(context, S.citation_features), lambda f: F.transform(T.citations(completion), against(f)))
 
-CITATION = "array<struct<marker:string,kind:string,value:string,claim:string,position:int>>"
 
+def cited_by_model(completion: Column, similarity) -> Column:
+    """As cited(), similarity(claims) giving array<array<double>>: each claim's scores of all chunks."""
+    def of(found: Column) -> Column:
+        scores = similarity(F.transform(found, lambda c: c["claim"]))
 
-def citations(text: Column) -> Column:
-    """The citation markers of each text; offsets and look-back need Python, in Arrow batches."""
+        def best(c: Column, row: Column) -> Column:
+            top = F.array_max(F.transform(row, lambda s, i: F.struct(s.alias("score"), (-i).alias("back"))))
+            return T.let(top, lambda t: F.struct(c.alias("citation"), F.coalesce(t["score"], F.lit(0.0)).alias("score"), (-t["back"]).alias("chunk_index")))
 
-    def parse(texts: pd.Series) -> pd.Series:
-        return texts.map(parse_citations)
+        return F.zip_with(found, scores, best)
 
-    return F.pandas_udf(parse, CITATION, F.PandasUDFType.SCALAR)(text)
+    return of(T.citations(completion))
 
 
 def citation_scores(requests: DataFrame, completion: str = "completion_text", context: str = "retrieved_context") -> DataFrame:
-    """A row for each citation: citation, score and chunk_index of the best chunk (the first of equals)."""
-    rows = requests.where(F.col(completion).isNotNull()).select("*", F.posexplode(citations(F.col(completion))).alias("citation_index", "citation"))
-    scored = F.transform(context, lambda c, i: F.struct(S.citation_score(F.col("citation.claim"), c).alias("score"), (-i).alias("back")))
-    top = rows.withColumn("_t", F.array_max(scored))
-    return top.select(*rows.columns, F.coalesce("_t.score", F.lit(0.0)).alias("score"), (-F.col("_t.back")).alias("chunk_index"))
-
-
-def citation_summary(scored: DataFrame, key: str, fail: float = 0.35, average: float = 0.5) -> DataFrame:
-    """Per request: score and passed; the first citation below fail decides, else the mean."""
-    first = F.min(F.when(F.col("score") < fail, F.struct("citation_index", "score")))
-    out = scored.groupBy(key).agg(first.alias("bad"), F.avg("score").alias("mean"), F.count("*").alias("n_citations"))
-    return out.select(
-        key, "n_citations", F.coalesce("bad.score", "mean").alias("score"),
-        (F.col("bad").isNull() & (F.col("mean") >= average)).alias("passed"),
+    """A row for each citation: citation_index, citation, score and chunk_index."""
+    rows = requests.where(F.col(completion).isNotNull()).select("*", F.posexplode(cited(F.col(completion), F.col(context))).alias("citation_index", "_c"))
+    return rows.select(*requests.columns, "citation_index", "_c.citation", "_c.score", "_c.chunk_index")
+
+
+def citation_summary(found: Column, fail: Column, average: Column) -> Column:
+    """struct<score, passed, n> of cited(): the first citation below fail decides, else the mean; null score and passed without citations."""
+    def of(scores: Column) -> Column:
+        first = F.try_element_at(F.filter(scores, lambda s: s < fail), F.lit(1))
+        mean = F.aggregate(scores, F.lit(0.0), lambda a, s: a + s) / F.size(scores)
+        none = F.size(scores) == 0
+        return F.struct(
+            F.when(~none, F.coalesce(first, mean)).alias("score"), (none | (first.isNull() & (mean >= average))).alias("passed"), F.size(scores).alias("n"),
+        )
+
+    return T.let(F.transform(found, lambda c: c["score"]), of)
+
+
+def citation_guard(found: Column, action: Column) -> Column:
+    """From a column of citation_summary."""
+    bad = ~found["passed"]
+    return result(
+        "citation_grounding_guard", "POST", ~bad, found["score"], F.when(bad, F.upper(action)).otherwise("ALLOW"),
+        F.when(bad, "LOW_GROUNDING_HALLUCINATION"), F.when(bad, F.concat(F.lit("Citation similarity "), F.round(found["score"], 3).cast("string"))),
     )

@@ -2,7 +2,8 @@
 
 Tokens are numbered per trace and entity type in the order of first encounter: messages ascending, matches
 within a message from right to left. A value keeps its first token, whatever type matches it later.
-Overlapping matches: the earliest start wins, then the longest, then scan order.
+Overlapping matches: the earliest start wins, then the longest, then scan order. Requests, whose messages are in one row, are
+masked in the row (vault_of, substitute, restored); tables of messages by joins (vault, mask, restore).
 """
 
 from __future__ import annotations
@@ -41,22 +42,27 @@ def _placer(values: Column, gaps: Column, rank: int, entity: str):
     return place
 
 
-def spans(text: Column, entities: list[str] | None = None) -> Column:
+SPANS = "array<struct<start:int,stop:int,rank:int,entity:string,value:string>>"
+VAULT = "array<struct<entity:string,value:string,token:string>>"
+
+
+def spans(text: Column, entities: list[str] | Column | None = None) -> Column:
     """array<struct<start, stop, rank, entity, value>> without overlaps, by start; built from splits, no Python.
 
+    entities: those to look for, as a list or a column of a list, "ALL" among them for all.
     The text between matches of a pattern gives their places: the n-th match starts after the first n gaps and n - 1 matches.
     """
-    found = []
+    found, none = [], F.array().cast(SPANS)
     for rank, (entity, pattern) in enumerate(P.PII):
-        if entities is not None and entity not in entities and "ALL" not in entities:
+        if isinstance(entities, list) and entity not in entities and "ALL" not in entities:
             continue
         values = entity_matches(text, entity)
-        gaps = F.split(text, f"(?U){pattern}", -1)
-
-        found.append(F.transform(values, _placer(values, gaps, rank, entity)))
-    kind = "array<struct<start:int,stop:int,rank:int,entity:string,value:string>>"
+        own = F.transform(values, _placer(values, F.split(text, f"(?U){pattern}", -1), rank, entity))
+        if isinstance(entities, Column):
+            own = F.when(F.array_contains(entities, entity) | F.array_contains(entities, "ALL"), own).otherwise(none)
+        found.append(own)
     if not found:
-        return F.array().cast(kind)
+        return none
     every = F.transform(F.flatten(F.array(*found)), lambda s: F.struct(s["start"], (-s["stop"]).alias("last"), s["rank"], s["entity"], s["value"]))
 
     def keep(kept: Column, s: Column) -> Column:
@@ -64,7 +70,34 @@ def spans(text: Column, entities: list[str] | None = None) -> Column:
         own = F.struct(s["start"].alias("start"), (-s["last"]).alias("stop"), s["rank"].alias("rank"), s["entity"].alias("entity"), s["value"].alias("value"))
         return F.when(s["start"] >= end, F.concat(kept, F.array(own))).otherwise(kept)
 
-    return F.aggregate(F.array_sort(every), F.array().cast(kind), keep)
+    return F.aggregate(F.array_sort(every), none, keep)
+
+
+def vault_of(found: Column) -> Column:
+    """The vault of one trace as a column: found is array<spans>, a list a message; tokens in the order that this module states."""
+    def add(kept: Column, s: Column) -> Column:
+        n = F.size(F.filter(kept, lambda e: e["entity"] == s["entity"])) + 1
+        new = F.struct(s["entity"].alias("entity"), s["value"].alias("value"), F.format_string("<%s_%d>", s["entity"], n).alias("token"))
+        return F.when(F.exists(kept, lambda e: e["value"] == s["value"]), kept).otherwise(F.concat(kept, F.array(new)))
+
+    return F.aggregate(F.flatten(F.transform(found, lambda m: F.reverse(m))), F.array().cast(VAULT), add)
+
+
+def substitute(text: Column, found: Column, kept: Column) -> Column:
+    """The text with each of its spans replaced by the value's token in the vault column."""
+    def step(a: Column, s: Column) -> Column:
+        token = F.try_element_at(F.filter(kept, lambda e: e["value"] == s["value"]), F.lit(1))["token"]
+        return F.struct(F.concat(a["out"], text.substr(a["at"] + 1, s["start"] - a["at"]), token).alias("out"), s["stop"].alias("at"))
+
+    def end(a: Column) -> Column:
+        return F.concat(a["out"], text.substr(a["at"] + 1, F.length(text)))
+
+    return F.when(F.size(found) > 0, F.aggregate(found, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, end)).otherwise(text)
+
+
+def restored(text: Column, kept: Column) -> Column:
+    """The text with each token of the vault column replaced by its value."""
+    return F.aggregate(F.coalesce(kept, F.array().cast(VAULT)), text, lambda t, e: F.replace(t, e["token"], e["value"]))
 
 
 def vault(messages: DataFrame, entities: list[str] | None = None) -> DataFrame:
@@ -78,25 +111,17 @@ def vault(messages: DataFrame, entities: list[str] | None = None) -> DataFrame:
     return out.select("trace_id", "entity", "value", F.format_string("<%s_%d>", "entity", "n").alias("token"))
 
 
+def _by_trace(kept: DataFrame) -> DataFrame:
+    return kept.groupBy("trace_id").agg(F.collect_list(F.struct("entity", "value", "token")).alias("_vault"))
+
+
 def mask(messages: DataFrame, entities: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(messages with text masked by tokens, vault)."""
+    """(messages with text masked by tokens, vault) of messages (trace_id, seq, text) in rows of their own."""
     kept = vault(messages, entities)
-    by_trace = kept.groupBy("trace_id").agg(F.map_from_entries(F.collect_list(F.struct("value", "token"))).alias("_tokens"))
-    found = messages.withColumn("_spans", spans(F.col("text"), entities)).join(by_trace, "trace_id", "left")
-    piece = F.aggregate(
-        "_spans",
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("at")),
-        lambda a, s: F.struct(
-            F.concat(a["out"], F.col("text").substr(a["at"] + 1, s["start"] - a["at"]), F.col("_tokens")[s["value"]]).alias("out"), s["stop"].alias("at")
-        ),
-        lambda a: F.concat(a["out"], F.col("text").substr(a["at"] + 1, F.length("text"))),
-    )
-    masked = F.when(F.size("_spans") > 0, piece).otherwise(F.col("text"))
-    return found.withColumn("text", masked).drop("_spans", "_tokens"), kept
+    found = messages.withColumn("_spans", spans(F.col("text"), entities)).join(_by_trace(kept), "trace_id", "left")
+    return found.withColumn("text", substitute(F.col("text"), F.col("_spans"), F.col("_vault"))).drop("_spans", "_vault"), kept
 
 
 def restore(texts: DataFrame, kept: DataFrame) -> DataFrame:
     """texts (trace_id, text) with each token replaced by its value."""
-    by_trace = kept.groupBy("trace_id").agg(F.collect_list(F.struct("token", "value")).alias("_back"))
-    back = F.aggregate(F.coalesce("_back", F.array().cast("array<struct<token:string,value:string>>")), F.col("text"), lambda t, e: F.replace(t, e["token"], e["value"]))
-    return texts.join(by_trace, "trace_id", "left").withColumn("text", back).drop("_back")
+    return texts.join(_by_trace(kept), "trace_id", "left").withColumn("text", restored(F.col("text"), F.col("_vault"))).drop("_vault")

@@ -5,6 +5,7 @@ Queries are a stated, small set; their side is what is broadcast, after its size
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from weir.functions import similarity as S, text as T
@@ -61,7 +62,7 @@ def chunk(docs: DataFrame, key: str, text: str = "text", size: int = 300, overla
     """(key, chunk_id, text): chunks of each text in order."""
 
     @F.pandas_udf("array<string>")
-    def cut(texts):
+    def cut(texts: pd.Series) -> pd.Series:
         return texts.map(lambda x: split_text(x, size, overlap) if x else [])
 
     return docs.select(key, F.posexplode(cut(F.col(text))).alias("chunk_id", "text"))
@@ -77,19 +78,22 @@ def postings(docs: DataFrame, key: str = "doc", text: str = "text") -> DataFrame
 def bm25(docs: DataFrame, queries: DataFrame, key: str = "doc", text: str = "text") -> DataFrame:
     """(query, doc, score) for documents that share a term with a query (query, text); repeated query terms count each time.
 
-    Only query terms are kept of the postings, before anything is shuffled; document statistics need one narrow pass.
+    One pass over the texts gives document counts of all terms with the corpus's size and length, under the empty term; another the
+    postings of the queries' terms alone, before anything is shuffled.
     A term in more than half of the documents has epsilon times the mean inverse frequency of all terms.
     """
     words = docs.select(F.col(key).alias("doc"), T.word_list(F.col(text)).alias("w"))
-    stats = words.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    df = words.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    each = F.concat(F.array(F.struct(F.lit("").alias("term"), F.size("w").alias("k"))), F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("k"))))
+    counts = words.select(F.explode(each).alias("e")).groupBy("e.term").agg(F.count("*").alias("df"), F.sum("e.k").alias("k"))
+    stats = counts.where("term = ''").select(F.col("df").alias("n"), (F.col("k") / F.col("df")).alias("avgdl"))
+    df = counts.where("term <> ''")
     idf = df.crossJoin(F.broadcast(stats)).select("term", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("raw"))
     mean = idf.agg(F.avg("raw").alias("mean"))
     asked = queries.select("query", F.explode(T.word_list(F.col("text"))).alias("term")).groupBy("query", "term").agg(F.count("*").alias("qf"))
     weights = asked.join(idf, "term").crossJoin(F.broadcast(mean)).select(
         "query", "term", "qf", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf")
     )
-    held = words.select("doc", F.size("w").alias("length"), F.explode("w").alias("term")).join(weights.select("term").distinct(), "term", "left_semi")
+    held = words.select("doc", F.size("w").alias("length"), F.explode("w").alias("term")).join(asked.select("term").distinct(), "term", "left_semi")
     tf = held.groupBy("doc", "term").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
     joined = tf.join(weights, "term").crossJoin(F.broadcast(stats))
     part = F.col("qf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avgdl")))
@@ -108,10 +112,24 @@ def top(scored: DataFrame, k: int, score: str = "score", doc: str = "doc") -> Da
     return last.where(F.col("rank") < k).drop("_part", "_r")
 
 
+def with_zeros(ranked: DataFrame, docs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """ranked lists (query, doc, rank, score) filled up to k with the least documents that share no term with the query, at score 0."""
+    least = docs.select("doc").orderBy("doc").limit(k)  # a list lacks as many as it holds of these at most
+    free = queries.select("query").crossJoin(least).join(ranked.select("query", "doc"), ["query", "doc"], "left_anti")
+    held = ranked.groupBy("query").agg(F.count("*").alias("held"))
+    placed = free.withColumn("_n", F.row_number().over(Window.partitionBy("query").orderBy("doc"))).join(held, "query", "left")
+    rank = F.coalesce("held", F.lit(0)) + F.col("_n") - 1
+    more = placed.withColumn("rank", rank).where(F.col("rank") < k).select("query", "doc", F.col("rank").cast("int").alias("rank"), F.lit(0.0).alias("score"))
+    return ranked.select("query", "doc", F.col("rank").cast("int").alias("rank"), "score").unionByName(more)
+
+
 def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query, doc, score): cosine of every vector (doc, vector) to each query (query, vector)."""
+    """(query, doc, score): cosine of every vector (doc, vector) to each query (query, vector).
+
+    Every vector is normalised once, then meets the queries; the planner broadcasts them if their size lets it, else it works block by block.
+    """
     asked = queries.select("query", S.normalized(F.col("vector")).alias("_q"))
-    both = vectors.select("doc", S.normalized(F.col("vector")).alias("_v")).crossJoin(F.broadcast(asked))
+    both = vectors.select("doc", S.normalized(F.col("vector")).alias("_v")).crossJoin(asked)
     return both.select("query", "doc", S.dot(F.col("_v"), F.col("_q")).alias("score"))
 
 

@@ -6,14 +6,15 @@ import hashlib
 import re
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CALL = "struct<id:string,name:string,arguments:string>"
 MESSAGE = f"struct<role:string,content:string,tool_call_id:string,calls:array<{CALL}>>"
+LOGPROBS = "array<struct<token:string,logprob:double,top_logprobs:array<double>>>"
 REQUEST = (
     f"trace_id string, app_id string, ts timestamp, model string, stream boolean, messages array<{MESSAGE}>, "
     f"retrieved_context array<string>, completion_text string, tool_calls array<{CALL}>, reasoning_text string, "
-    "reasoning_content string, logprobs array<struct<token:string,logprob:double,top_logprobs:array<double>>>"
+    f"reasoning_content string, logprobs {LOGPROBS}"
 )
 #: Defaults of a policy.
 DEFAULTS = {
@@ -26,7 +27,10 @@ DEFAULTS = {
     "grounding_fallback": "The requested details could not be verified against source documents.", "citations": False,
     "citation_fail_threshold": 0.35, "citation_avg_threshold": 0.50, "confidence": False, "avg_logprob_threshold": -2.0,
     "min_logprob_threshold": -4.0, "per_token_threshold": -2.5, "max_low_conf_pct": 0.30, "reasoning": False,
-    "similarity_fail_threshold": 0.15, "dedup": False, "max_duplicate_calls": 1,
+    "similarity_fail_threshold": 0.15, "dedup": False, "max_duplicate_calls": 1, "nli_backend": "auto",
+    "context_reranking": False, "context_relevance_threshold": 0.30, "context_reranker_top_k": None,
+    "citation_similarity_method": "auto", "similarity_method": "auto", "chat_judge": False, "chat_action": "rewrite",
+    "bias_projection": False, "counterfactual": False,
 }
 POLICY = (
     "app_id string, policy_hash string, version string, mode string, fail_mode string, streaming_mode string, "
@@ -36,17 +40,29 @@ POLICY = (
     "action_on_low_grounding string, grounding_fallback string, citations boolean, citation_fail_threshold double, "
     "citation_avg_threshold double, confidence boolean, avg_logprob_threshold double, min_logprob_threshold double, "
     "per_token_threshold double, max_low_conf_pct double, reasoning boolean, similarity_fail_threshold double, dedup boolean, "
-    "max_duplicate_calls int"
+    "max_duplicate_calls int, nli_backend string, context_reranking boolean, context_relevance_threshold double, "
+    "context_reranker_top_k int, citation_similarity_method string, similarity_method string, chat_judge boolean, "
+    "chat_action string, bias_projection boolean, counterfactual boolean"
+)
+RULE = "app_id string, tool string, field string, type string, min_value double, max_value double, allowed array<string>, place int"
+RESPONSE = (
+    "choices array<struct<message:struct<content:string,reasoning_content:string,"
+    "tool_calls:array<struct<id:string,function:struct<name:string,arguments:string>>>>,"
+    "logprobs:struct<content:array<struct<token:string,logprob:double,top_logprobs:array<struct<token:string,logprob:double>>>>,"
+    "tokens:array<string>,token_logprobs:array<double>>>>, "
+    "usage struct<prompt_tokens:int,completion_tokens:int,total_tokens:int>"
 )
-RULE = "app_id string, tool string, field string, type string, min_value double, max_value double, allowed array<string>"
 
 
 def read_requests(spark: SparkSession, path: str, stream: bool = False) -> DataFrame:
-    """JSON lines of chat requests; unknown keys stay in `raw`. A missing app_id is `default`, a missing trace_id made."""
+    """JSON lines of chat requests; unknown keys stay in `raw`. A missing app_id is `default`, a missing trace_id a new one for each row.
+
+    New ids are drawn: write the requests before reading them twice, if both readings must agree.
+    """
     reader = spark.readStream if stream else spark.read
     lines = reader.text(path)
     parsed = lines.select(F.from_json("value", REQUEST).alias("r"), F.try_parse_json("value").alias("raw")).select("r.*", "raw")
-    made = F.concat(F.lit("trace_"), F.substring(F.md5(F.to_json("raw")), 1, 12))
+    made = F.concat(F.lit("trace_"), F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 12))
     return parsed.withColumns({"app_id": F.coalesce("app_id", F.lit("default")), "trace_id": F.coalesce("trace_id", made)})
 
 
@@ -65,6 +81,44 @@ def write_requests(requests: DataFrame, path: str) -> None:
     requests.drop("raw").write.mode("append").option("ignoreNullFields", True).json(path)
 
 
+def payload(model: Column, messages: Column) -> Column:
+    """The JSON that an upstream model is sent: model and messages, without null fields, the context or anything of ours."""
+    def call(c: Column) -> Column:
+        return F.struct(c["id"].alias("id"), F.lit("function").alias("type"), F.struct(c["name"].alias("name"), c["arguments"].alias("arguments")).alias("function"))
+
+    said = F.transform(
+        messages,
+        lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content"), m["tool_call_id"].alias("tool_call_id"), F.transform(m["calls"], call).alias("tool_calls")),
+    )
+    return F.to_json(F.struct(model.alias("model"), said.alias("messages")))
+
+
+def response(body: Column) -> Column:
+    """struct<content, reasoning_content, tool_calls, logprobs, prompt_tokens, completion_tokens> of a chat reply's JSON.
+
+    Log-probabilities come from `content`, or else from the older lists of tokens and values, nulls left out; alternatives
+    without a value count as -20.
+    """
+    parsed = F.from_json(body, RESPONSE)
+    choice = F.try_element_at(parsed["choices"], F.lit(1))
+    lists = choice["logprobs"]
+    named = F.transform(
+        lists["content"],
+        lambda t: F.struct(t["token"].alias("token"), t["logprob"].alias("logprob"), F.transform(t["top_logprobs"], lambda a: F.coalesce(a["logprob"], F.lit(-20.0))).alias("top_logprobs")),
+    )
+    n = F.least(F.size(lists["tokens"]), F.size(lists["token_logprobs"]))
+    older = F.filter(
+        F.zip_with(F.slice(lists["tokens"], 1, n), F.slice(lists["token_logprobs"], 1, n), lambda t, x: F.struct(t.alias("token"), x.alias("logprob"), F.lit(None).cast("array<double>").alias("top_logprobs"))),
+        lambda t: t["logprob"].isNotNull(),
+    )
+    calls = F.transform(choice["message"]["tool_calls"], lambda c: F.struct(c["id"].alias("id"), c["function"]["name"].alias("name"), c["function"]["arguments"].alias("arguments")))
+    return F.struct(
+        choice["message"]["content"].alias("content"), choice["message"]["reasoning_content"].alias("reasoning_content"), calls.alias("tool_calls"),
+        F.when(F.size(lists["content"]) > 0, named).when(n > 0, older).alias("logprobs"),
+        parsed["usage"]["prompt_tokens"].alias("prompt_tokens"), parsed["usage"]["completion_tokens"].alias("completion_tokens"),
+    )
+
+
 def policy_rows(spec: dict, digest: str = "unknown") -> tuple[list[tuple], list[tuple]]:
     """Policies and tool rules of a parsed policy file as rows of POLICY and RULE."""
     names = [c.split()[0] for c in re.split(r",(?![^<]*>) ?", POLICY)]
@@ -72,24 +126,35 @@ def policy_rows(spec: dict, digest: str = "unknown") -> tuple[list[tuple], list[
     for app, p in (spec.get("policies") or {}).items():
         pre, post, agent = p.get("pre_execution") or {}, p.get("post_execution") or {}, p.get("agent_config")
         own = DEFAULTS | {"app_id": app, "policy_hash": digest} | {k: v for part in (p, pre) for k, v in part.items() if k in DEFAULTS}
-        own |= {a: post[b] for a, b in (("toxicity_threshold",) * 2, ("bias_threshold", "bias_subspace_threshold"), ("action_on_violation",) * 2, ("fallback_message",) * 2) if b in post}
+        places = {
+            "toxicity_threshold": "toxicity_threshold", "bias_threshold": "bias_subspace_threshold", "action_on_violation": "action_on_violation",
+            "fallback_message": "fallback_message", "bias_projection": "bias_projection_enabled", "counterfactual": "counterfactual_check_enabled",
+        }
+        own |= {a: post[b] for a, b in places.items() if b in post}
         cap = pre.get("context_capping") or {}
         own["max_context_chars"] = cap.get("max_context_length_chars", 4000) if cap.get("enabled") else None
         own["cache"] = bool((pre.get("semantic_cache") or {}).get("enabled"))
-        if ground := post.get("hallucination_engine"):
-            own |= {k: v for k, v in ground.items() if k in DEFAULTS}
-            own |= {"grounding": ground.get("enabled", True), "citations": ground.get("citation_check_enabled", False)}
+        if (ground := post.get("hallucination_engine")) is not None:
+            own |= {k: v for k, v in ground.items() if k in DEFAULTS and k != "fallback_message"}
+            own["grounding"] = ground.get("enabled", True)
+            own["citations"] = own["grounding"] and ground.get("citation_check_enabled", False)
+            own["context_reranking"] = ground.get("context_reranking_enabled", False)
             own["grounding_fallback"] = ground.get("fallback_message", DEFAULTS["grounding_fallback"])
+        if judge := post.get("chatbot_hallucination"):
+            own |= {"chat_judge": bool(judge.get("enabled")), "chat_action": judge.get("action_on_violation", "rewrite")}
         if agent is not None:
             for key, part in (("confidence", "confidence_mismatch"), ("reasoning", "reasoning_similarity"), ("dedup", "tool_deduplication")):
                 got = agent.get(part, None if key == "dedup" else {})
                 own[key] = got is not None and got.get("enabled", key != "dedup")
                 own |= {k: v for k, v in (got or {}).items() if k in DEFAULTS}
-        policies.append(tuple(float(own[k]) if "threshold" in k or k in ("min_grounding_score", "max_low_conf_pct") else own[k] for k in names))
+        real = ("min_grounding_score", "max_low_conf_pct")
+        policies.append(tuple(float(own[k]) if ("threshold" in k or k in real) and own[k] is not None else own[k] for k in names))
+        place = 0
         for tool, guard in (p.get("tool_guards") or {}).items():
             for r in guard.get("parameter_rules") or []:
                 least, most, allowed = r.get("min_value"), r.get("max_value"), r.get("allowed_values")
-                rules.append((app, tool, r["field"], r["type"], None if least is None else float(least), None if most is None else float(most), None if allowed is None else [str(x) for x in allowed]))
+                rules.append((app, tool, r["field"], r["type"], None if least is None else float(least), None if most is None else float(most), None if allowed is None else [str(x) for x in allowed], place))
+                place += 1
     return policies, rules
 
 
@@ -113,6 +178,9 @@ class PolicyRegistry:
             self.rows += policy_rows({"policies": {"default": {"version": "default-1.0.0"}}})[0]
         return good
 
+    def count(self) -> int:
+        return len(self.rows)
+
     def policies(self) -> DataFrame:
         return self.spark.createDataFrame(self.rows, POLICY)
 
@@ -120,9 +188,19 @@ class PolicyRegistry:
         return self.spark.createDataFrame(self.rules, RULE)
 
 
-def with_policy(requests: DataFrame, policies: DataFrame) -> DataFrame:
-    """requests with `policy`; unknown apps get the default's row. Policies come from one file, so their side is small."""
-    named = policies.select(F.col("app_id").alias("_app"), F.struct(*policies.columns).alias("policy"))
-    default = policies.where("app_id = 'default'").select(F.struct(*policies.columns).alias("_default"))
-    joined = requests.join(F.broadcast(named), F.col("app_id") == F.col("_app"), "left").crossJoin(F.broadcast(default))
-    return joined.withColumn("policy", F.coalesce("policy", "_default")).drop("_app", "_default")
+def with_policy(requests: DataFrame, policies: DataFrame, rules: DataFrame | None = None) -> DataFrame:
+    """requests with `policy`, and with rules `tool_rules` in their file's order; unknown apps get the default's row.
+
+    Policies and rules come from one file, so their side is small.
+    """
+    named = policies.select("app_id", F.struct(*policies.columns).alias("policy"))
+    if rules is not None:
+        parts = F.struct("place", "tool", "field", "type", "min_value", "max_value", "allowed")
+        kept = F.transform(F.array_sort(F.collect_list(parts)), lambda r: F.struct(*(r[k].alias(k) for k in ("tool", "field", "type", "min_value", "max_value", "allowed"))))
+        named = named.join(rules.groupBy("app_id").agg(kept.alias("tool_rules")), "app_id", "left")
+    more = ["policy"] + ["tool_rules"] * (rules is not None)
+    own = named.select(F.col("app_id").alias("_app"), F.struct(*more).alias("_own"))
+    default = named.where("app_id = 'default'").select(F.struct(*more).alias("_default"))
+    joined = requests.join(F.broadcast(own), F.col("app_id") == F.col("_app"), "left").join(F.broadcast(default), F.lit(True), "left")
+    found = joined.withColumn("_own", F.coalesce("_own", "_default"))
+    return found.withColumns({k: F.col(f"_own.{k}") for k in more}).drop("_app", "_own", "_default")
