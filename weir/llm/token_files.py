@@ -32,7 +32,7 @@ from weir.session import ship
 
 LENGTH, ROWS, END_ID = 1024, 256, 0
 #: Parts kept, the longest one kept, and parts that the library encodes at once.
-KEPT, LONGEST, BLOCK = 500_000, 48, 10_000
+KEPT, LONGEST, BLOCK = 900_000, 48, 10_000
 #: Bytes of input a file is for, at most, and at least where that gives fewer files than shuffle partitions.
 FILE_BYTES, LEAST_BYTES = 256 << 20, 8 << 20
 _ENCODERS: dict[str, "Encoder"] = {}
