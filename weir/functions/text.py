@@ -88,8 +88,12 @@ def claims(text: Column) -> Column:
     )
 
 
-def negated(text: Column) -> Column:
-    return matches(text, P.NEGATION)
+def negated(text: Column, ascii_edges: bool = False) -> Column:
+    """Whether a word of negation is in the text. ascii_edges: letters beyond ASCII end a word, as in RE2, so "noítaga" has "no"."""
+    if not ascii_edges:
+        return matches(text, P.NEGATION)
+    words = P.NEGATION.removeprefix(r"\b").removesuffix(r"\b").replace("s", "[sſ]")  # all that RE2 takes for the letters without regard to case
+    return F.coalesce(text.rlike(rf"(?<![A-Za-z0-9_])(?i:{words})(?![A-Za-z0-9_])"), F.lit(False))
 
 
 def has_citations(text: Column) -> Column:

@@ -52,14 +52,14 @@ def align(requests: DataFrame, completion: str = "completion_text", context: str
     return rows.select(*requests.columns, "claim_index", "_b.claim", "_b.overlap", F.col("_b.index").alias("chunk_index"), "_b.chunk")
 
 
-def lexical(claim: Column) -> Column:
-    """The lexical comparison of an aligned claim with its chunk."""
-    return S.nli_of(claim["n_words"], claim["overlap"], T.negated(claim["claim"]) != T.negated(claim["chunk"]))
+def lexical(claim: Column, ascii_edges: bool = False) -> Column:
+    """The lexical comparison of an aligned claim with its chunk; ascii_edges as in T.negated."""
+    return S.nli_of(claim["n_words"], claim["overlap"], T.negated(claim["claim"], ascii_edges) != T.negated(claim["chunk"], ascii_edges))
 
 
-def grounding_scores(completion: Column, context: Column) -> Column:
+def grounding_scores(completion: Column, context: Column, ascii_edges: bool = False) -> Column:
     """array<double>: the grounding of each claim, in order: 1.0 from the lexical gate on, else by the lexical comparison."""
-    return F.transform(aligned(completion, context), lambda c: F.when(c["overlap"] >= LEXICAL_GATE, 1.0).otherwise(S.grounding(lexical(c))))
+    return F.transform(aligned(completion, context), lambda c: F.when(c["overlap"] >= LEXICAL_GATE, 1.0).otherwise(S.grounding(lexical(c, ascii_edges))))
 
 
 def model_pairs(claims: Column) -> Column:
