@@ -388,6 +388,18 @@ def test_places_of_notices_against_brute_force():
         assert {(*k, v) for k, v in got.items()} == want
 
 
+def test_compression_finds_and_ranks_licenses():
+    """A license whose template is taken away isn't found, and loses places to others; no notice that is left is lost."""
+    text, three = PROSE + "Released under the MIT License. Licensed under the ISC License. " + PROSE, licenses.TEXTS["BSD-3-Clause"][1]
+    scanner = licenses.Scanner()
+    assert [r[2] for r in scanner.scan(text)] == ["MIT", "ISC"] and [r[2] for r in scanner.scan(three)] == ["BSD-3-Clause"]
+    scanner.given["MIT"] = scanner.given["BSD-3-Clause"] = scanner.alone
+    assert [r[2] for r in scanner.scan(text)] == ["ISC"] and [r[2] for r in scanner.scan(three)] == ["BSD-2-Clause"]
+    scanner = licenses.Scanner()
+    for short in ("licensed the mit license a", "of released as the mit license international commons made eclipse", "SOFTWARE RELEASED\n\tUNDER OF THE MIT LICENSE"):
+        assert [r[2] for r in scanner.scan(short)] == ["MIT"]
+
+
 def test_every_license_of_a_text_is_reported():
     two = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0."]
     tags = ["SPDX-License-Identifier: MIT", "SPDX-License-Identifier: Apache-2.0"]
