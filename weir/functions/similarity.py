@@ -18,7 +18,7 @@ def dice(a: Column, b: Column) -> Column:
 
 def recall(a: Column, b: Column) -> Column:
     """Share of a that is in b; 0.0 if a is empty."""
-    return F.when(F.size(a) == 0, 0.0).otherwise(common(a, b) / F.size(a))
+    return F.when(F.size(a) == 0, 0.0).otherwise(common(b, a) / F.size(a))  # array_intersect hashes its second array, mostly the shorter here
 
 
 def jaccard(a: Column, b: Column) -> Column:
