@@ -102,6 +102,48 @@ def test_components_of_paths_and_stars(spark):
     assert {r.node: r.root for r in got} == {**{i: 0 for i in range(51)}, **{i: 100 for i in range(100, 160)}}
 
 
+def test_components_end_at_stars(spark, monkeypatch):
+    names, write = [], ngram_join.materialize
+    monkeypatch.setattr(ngram_join, "materialize", lambda df, name, **more: names.append(name) or write(df, name, **more))
+    for edges, roots in (
+        ([], {}),
+        ([(3, 3)], {}),
+        ([(i, 0) for i in range(1, 9)] + [(0, 5), (20, 21)], {**{i: 0 for i in range(9)}, 20: 20, 21: 20}),
+    ):
+        names.clear()
+        got = ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r.node: r.root for r in got} == roots and len(got) == len(roots)
+        assert names == ["edges"]
+    for edges, rounds in (([(2, 1), (2, 0)], 1), ([(2, 1), (1, 0)], 1)):  # two edges up; a chain
+        names.clear()
+        got = ngram_join.components(spark.createDataFrame(edges, "a long, b long")).collect()
+        assert {r.node: r.root for r in got} == {0: 0, 1: 0, 2: 0} and names == ["edges"] + ["least", "large", "low", "edges"] * rounds
+
+
+def test_few_files_where_partitions_are_not_merged(spark, docs, monkeypatch):
+    """Every file costs its executor two processes, so their number must not follow that of shuffle partitions."""
+    conf = {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was, counts, write = {k: spark.conf.get(k) for k in conf}, {}, ngram_join.materialize
+
+    def counted(df, name, **more):
+        out = write(df, name, **more)
+        counts[name] = max(counts.get(name, 0), len(out.inputFiles()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    rows = EDGE + corpus(11)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = ngram_join.ngram_join(docs(rows)).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert Counter(tuple(r) for r in got) == Counter(brute(rows))
+    few = spark.sparkContext.defaultParallelism
+    assert counts["links"] and all(n <= (4 * few if name == "sets" else few) for name, n in counts.items()), counts
+
+
 def test_min_hash_agreement_estimates_jaccard():
     draw = np.random.default_rng(0)
     a = draw.integers(0, 2**63, 3000).astype(np.uint64)

@@ -36,7 +36,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from weir.llm.shared import bounded_batches, materialize, scratch, settle, small
+from weir.llm.shared import bounded_batches, materialize, planned_bytes, scratch, settle, small
 from weir.session import ship
 
 THRESHOLD, SHINGLE = 0.8, 5
@@ -44,6 +44,8 @@ N_HASHES, BAND, STEP, TOLERANCE = 200, 5, 40, 1e-9
 #: Texts of a block: BLOCK_ROWS, so that small groups are spread over SPREAD blocks first, then up to MOST_ROWS; shingles in all, at most.
 BLOCK_ROWS, SPREAD, MOST_ROWS, BLOCK_SHINGLES = 150, 12, 1500, 2_000_000
 BATCH_CHARS = 2_000_000
+#: Bytes of signed rows for which the tables made of them get a file, beyond one for each core.
+FILE_BYTES = 64_000_000
 _WORD = re.compile(r"\w+")
 _M = np.uint64(0x9E3779B97F4A7C15)
 
@@ -167,26 +169,30 @@ def linked_pairs(
     return (np.concatenate(found_i), np.concatenate(found_j)) if found_i else (empty, empty)
 
 
-def components(edges: DataFrame) -> DataFrame:
+def stars(edges: DataFrame) -> bool:
+    """Whether the edges (a, b) are stars already: no node a has two edges, and none is the b of another."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionAll(edges.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    nodes = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return not nodes.where("up + down > 1").agg(F.count("*")).first()[0]
+
+
+def components(edges: DataFrame, files: int = 0) -> DataFrame:
     """(node, root): the least node of each component of the undirected edges (a, b), by large-star and small-star steps.
 
     Every step writes its edges to the shared folder; steps grow with the logarithm of the longest path.
     What is joined is written first, so that the join of a node with very many edges can be split.
+    Stars are what the steps leave as it is, so they end there, without a round of four more tables that shows no change.
     """
-    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    was = None
-    while True:
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == was or not state[0]:
-            break
-        was = state
+    now = materialize(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges", files=files)
+    while not stars(now):
         both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
+        least = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least", files=files)
         large = both.join(least, "a").where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = materialize(large.distinct(), "large")
-        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low")
+        large = materialize(large.distinct(), "large", files=files)
+        low = materialize(large.groupBy("a").agg(F.min("b").alias("m")), "low", files=files)
         small = large.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        now = materialize(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        now = materialize(small.unionAll(low.select("a", F.col("m").alias("b"))).distinct(), "edges", files=files)
     roots = now.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.unionAll(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
@@ -237,37 +243,43 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"{fields}, row long, set_hash binary, n long, bands array<long>")
 
 
+def few(signed: DataFrame) -> int:
+    """Files for a table made of signed rows: each costs two processes that its executor starts, if the shared folder is a local one."""
+    return max(signed.sparkSession.sparkContext.defaultParallelism, -(-planned_bytes(signed) // FILE_BYTES))
+
+
 def ngram_join(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The result is written before what it was made from is deleted."""
     ship(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession):
         signed = materialize(signatures(numbered(docs.select("doc_id", "text"))), "signed")
-        return materialize(_joined(signed, threshold).drop("row", "keeper"), "joined", keep=True)
+        return materialize(_joined(signed, threshold).drop("row", "keeper"), "joined", keep=True, files=few(signed))
 
 
 def _joined(signed: DataFrame, threshold: float) -> DataFrame:
     """The result for each row of signatures(), with row, and keeper: the row of the group's least doc_id."""
+    files = few(signed)
     # A class is led by the row of its least doc_id; null ids come last.
     lead = F.min(F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("d"), "row")).alias("lead")
     classes = signed.groupBy("set_hash").agg(
         lead, F.min("doc_id").alias("class_id"), F.count("*").alias("n_copies"), F.first("n").alias("n"), F.first("bands").alias("bands")
     )
-    classes = materialize(classes.withColumn("node", F.col("lead.row")).drop("lead"), "classes")
+    classes = materialize(classes.withColumn("node", F.col("lead.row")).drop("lead"), "classes", files=files)
     keyed = classes.select("node", F.explode("bands").alias("key"))
     buckets = keyed.groupBy("key").agg(F.min("node").alias("least"), F.count("*").alias("k")).where("k > 1").drop("k")
-    buckets = materialize(buckets, "buckets")
+    buckets = materialize(buckets, "buckets", files=files)
     edges = keyed.join(buckets, "key").where("node <> least").select(F.col("node").alias("a"), F.col("least").alias("b"))
-    linked = _links(signed, classes, materialize(components(edges), "components"), threshold)
+    linked = _links(signed, classes, components(edges, files), threshold, files)
     counts = linked.where("a = b").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("n_links"), F.sum("docs").alias("d"))
-    roots = materialize(components(linked.where("a <> b").select("a", "b")), "roots")
+    roots = materialize(components(linked.where("a <> b").select("a", "b"), files), "roots", files=files)
     # A class's node is its row of least doc_id, so the least class's node is the row that stands for the group.
     least = F.min(F.struct(F.coalesce("class_id", F.lit(2**63 - 1)).alias("d"), F.col("node").alias("keeper"))).alias("least")
     led = roots.join(classes.select("node", "class_id"), "node").groupBy("root").agg(least, F.min("class_id").alias("group_id"))
-    led = materialize(led.select("root", "group_id", "least.keeper"), "led")
+    led = materialize(led.select("root", "group_id", "least.keeper"), "led", files=files)
     groups = roots.join(led, "root").select("node", "group_id", "keeper")
     info = classes.select("set_hash", "node", "class_id", "n_copies").join(counts, "node", "left").join(groups, "node", "left")
-    info = materialize(info.withColumn("keeper", F.coalesce("keeper", "node")).drop("node"), "info")
+    info = materialize(info.withColumn("keeper", F.coalesce("keeper", "node")).drop("node"), "info", files=files)
     return signed.select("doc_id", "row", "set_hash").join(info, "set_hash").select(
         "row",
         "keeper",
@@ -280,14 +292,14 @@ def _joined(signed: DataFrame, threshold: float) -> DataFrame:
     )
 
 
-def _links(signed: DataFrame, classes: DataFrame, grouped: DataFrame, threshold: float) -> DataFrame:
+def _links(signed: DataFrame, classes: DataFrame, grouped: DataFrame, threshold: float, files: int) -> DataFrame:
     """Verified links: rows (a, b) with a <> b to join groups, and rows (a, a, links, docs) to be summed for a class."""
-    sized = materialize(grouped.join(classes.select("node", "n", "n_copies"), "node"), "sized")
+    sized = materialize(grouped.join(classes.select("node", "n", "n_copies"), "node"), "sized", files=files)
     weight = sized.groupBy("root").agg(F.count("*").alias("k"), F.sum("n").alias("w"))
     parts = F.ceil(F.greatest(F.least(F.col("k") / BLOCK_ROWS, F.lit(SPREAD)), F.col("k") / MOST_ROWS, F.col("w") / BLOCK_SHINGLES)).cast("int")
-    weight = materialize(weight.select("root", parts.alias("parts")), "weight")
+    weight = materialize(weight.select("root", parts.alias("parts")), "weight", files=files)
     members = sized.join(weight, "root").withColumn("block", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    members = materialize(members.select("node", "root", "parts", "block", "n_copies"), "members")
+    members = materialize(members.select("node", "root", "parts", "block", "n_copies"), "members", files=files)
     # By merge at every size: a small table's members would be broadcast, and the plan would change as they grow.
     texts = signed.select(F.col("row").alias("node"), "text").join(members.hint("merge"), "node")
 
@@ -301,7 +313,8 @@ def _links(signed: DataFrame, classes: DataFrame, grouped: DataFrame, threshold:
                 yield pa.RecordBatch.from_arrays([*part.columns[1:], held], [*batch.schema.names[1:], "set"])
 
     fields = "node long, root long, parts int, block int, n_copies long, set array<long>"
-    sets = texts.select("text", "node", "root", "parts", "block", "n_copies").mapInArrow(shingled, fields)
+    # Nodes are dealt evenly, so neighbouring partitions can share a task and a file.
+    sets = texts.select("text", "node", "root", "parts", "block", "n_copies").coalesce(4 * files).mapInArrow(shingled, fields)
     sets = materialize(sets, "sets")
     dealt = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
         "node", "root", "block", "n_copies", "set", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
@@ -348,7 +361,8 @@ def _links(signed: DataFrame, classes: DataFrame, grouped: DataFrame, threshold:
             }
         )
 
-    return materialize(dealt.groupBy("root", "i", "j").applyInArrow(work, "a long, b long, links long, docs long"), "links")
+    links = dealt.groupBy("root", "i", "j").applyInArrow(work, "a long, b long, links long, docs long")
+    return materialize(links.repartition(files), "links")
 
 
 def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -357,7 +371,8 @@ def one_of_each(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     bounded_batches(docs.sparkSession)
     with scratch(docs.sparkSession):
         signed = materialize(signatures(numbered(docs)), "signed", keep=True)
-        dropped = materialize(_joined(signed, threshold).where("row <> keeper").select("row"), "dropped", keep=True)
+        dropped = _joined(signed, threshold).where("row <> keeper").select("row")
+        dropped = materialize(dropped, "dropped", keep=True, files=few(signed))
     names = {f.name: f.name if f.name in ("doc_id", "text") else f"c{i}" for i, f in enumerate(docs.schema)}
     columns = [F.col(names[f.name]).cast(f.dataType).alias(f.name) for f in docs.schema]
     return signed.join(dropped, "row", "left_anti").select(*columns)

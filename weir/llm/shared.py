@@ -56,10 +56,19 @@ def scratch(spark: SparkSession):
             jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
-def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write and reread df: cuts lineage, survives lost executors, and gives the planner real sizes."""
+def merges(spark: SparkSession) -> bool:
+    """Whether adaptive execution merges small partitions in this session."""
+    keys = "spark.sql.adaptive.enabled", "spark.sql.adaptive.coalescePartitions.enabled"
+    return all(spark.conf.get(key, "true").lower() == "true" for key in keys)
+
+
+def materialize(df: DataFrame, name: str, keep: bool = False, files: int = 0) -> DataFrame:
+    """Write and reread df: cuts lineage, survives lost executors, and gives the planner real sizes.
+
+    A file for each partition; where adaptive execution doesn't merge small partitions, all rows go evenly into `files` files (if given).
+    """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    (df.repartition(files) if files and not merges(df.sparkSession) else df).write.parquet(path)
     if _OPEN and not keep:
         _OPEN[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
