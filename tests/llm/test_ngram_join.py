@@ -144,6 +144,29 @@ def test_few_files_where_partitions_are_not_merged(spark, docs, monkeypatch):
     assert counts["links"] and all(n <= (4 * few if name == "sets" else few) for name, n in counts.items()), counts
 
 
+def test_shingle_sets_take_a_file_for_each_core(spark, docs, monkeypatch):
+    """However many partitions the join has that feeds them; files are written in a burst while the executor's heap is full."""
+    conf = {"spark.sql.shuffle.partitions": "37", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    was, counts, write = {k: spark.conf.get(k) for k in conf}, {}, ngram_join.materialize
+
+    def counted(df, name, **more):
+        out = write(df, name, **more)
+        counts[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        rows = corpus(13)
+        got = ngram_join.ngram_join(docs(rows)).collect()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert Counter(tuple(r) for r in got) == Counter(brute(rows))
+    assert 0 < counts["sets"] <= spark.sparkContext.defaultParallelism
+
+
 def test_min_hash_agreement_estimates_jaccard():
     draw = np.random.default_rng(0)
     a = draw.integers(0, 2**63, 3000).astype(np.uint64)

@@ -314,7 +314,7 @@ def _links(signed: DataFrame, classes: DataFrame, grouped: DataFrame, threshold:
 
     fields = "node long, root long, parts int, block int, n_copies long, set array<long>"
     # Nodes are dealt evenly, so neighbouring partitions can share a task and a file.
-    sets = texts.select("text", "node", "root", "parts", "block", "n_copies").coalesce(4 * files).mapInArrow(shingled, fields)
+    sets = texts.select("text", "node", "root", "parts", "block", "n_copies").coalesce(files).mapInArrow(shingled, fields)
     sets = materialize(sets, "sets")
     dealt = sets.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
         "node", "root", "block", "n_copies", "set", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")
